@@ -8,22 +8,20 @@ WORD = r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 LETTER_RUN = r"[\p{L}\p{N}_]+"
 ASCII_ONLY = r"^[A-Za-z]+$"
 ROUGE_TOKEN = r"[a-z0-9]+"
-SENTENCE_END = r"([.!?])\s+"
+SENTENCE_GAP = r"(?<=[.!?])\s+"
 VOWEL_RUN = r"[aeiouy]+"
 CAPITAL_RUN = r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*"
 FIRST_WORD = r"^\s*\S+"
 
-_MARK = "\u0001"
-
 
 def _all_matches(x: Column, pattern: str) -> Column:
     return F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
 
 
-def sentences(x: Column) -> Column:
-    """Sentences of a text, cut at blanks after . ! or ?; blank ones are left out."""
-    marked = F.regexp_replace(x, SENTENCE_END, "$1" + _MARK)
-    return F.filter(F.split(marked, _MARK), lambda s: s.rlike(r"\S"))
+def sentences(x: Column, limit: int = -1) -> Column:
+    """Sentences of a text, cut at blanks after . ! or ?; blank ones are left out.  With a
+    limit the text is cut into at most so many pieces, the last of them uncut."""
+    return F.filter(F.split(x, SENTENCE_GAP, limit), lambda s: s.rlike(r"\S"))
 
 
 def words(x: Column) -> Column:

@@ -71,8 +71,11 @@ def stem_dictionary(pairs: DataFrame, split=text.rouge_tokens) -> DataFrame:
 
 
 def rouge_token_rows(pairs: DataFrame, stem: bool = True, stems: DataFrame | None = None) -> DataFrame:
-    """(id, side, pos, tok) for the overlap metrics, stems in place of tokens if wanted."""
-    rows = token_rows(pairs, text.rouge_tokens)
+    """(id, side, pos, tok) for the overlap metrics, stems in place of tokens if wanted.
+
+    A text without tokens keeps one row of NULLs.
+    """
+    rows = side_rows(pairs, text.rouge_tokens).select("id", "side", F.posexplode_outer("toks").alias("pos", "tok"))
     if not stem:
         return rows
     if stems is None:
