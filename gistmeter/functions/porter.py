@@ -1,4 +1,4 @@
-"""Porter stemming (Porter 1980, with the usual later extensions) as projections.
+"""Porter stemming (Porter 1980, with the usual later extensions) as column expressions.
 
 A consonant y is written Y while the rules run, so one character class tells vowels
 from consonants and every rule is a suffix test plus a pattern on the stem.
@@ -46,14 +46,22 @@ def _cut(w: Column, suffix: str) -> Column:
     return F.substring(w, F.lit(1), F.length(w) - F.lit(len(suffix)))
 
 
-def _first_rule(w: Column, rules) -> Column:
-    """CASE over (suffix, condition on the stem, ending); a failed condition keeps the word."""
-    branch = None
-    for suffix, holds, ending in rules:
-        stem = _cut(w, suffix)
-        then = F.when(holds(stem), F.concat(stem, F.lit(ending))).otherwise(w)
-        branch = F.when(w.endswith(suffix), then) if branch is None else branch.when(w.endswith(suffix), then)
-    return branch.otherwise(w)
+def _first_rule(w: Column, rules, shortest: int = 1) -> Column:
+    """The first rule (suffix, condition on the stem, ending) whose suffix fits; a failed
+    condition keeps the word.  Rules are looked up by last letter, and words under
+    `shortest` letters, too short for any condition, are passed over."""
+    by_letter: dict[str, list] = {}
+    for rule in rules:
+        by_letter.setdefault(rule[0][-1], []).append(rule)
+    out = F.when(F.length(w) < shortest, w)
+    for letter, group in by_letter.items():
+        inner = None
+        for suffix, holds, ending in group:
+            stem = _cut(w, suffix)
+            then = F.when(holds(stem), F.concat(stem, F.lit(ending))).otherwise(w)
+            inner = F.when(w.endswith(suffix), then) if inner is None else inner.when(w.endswith(suffix), then)
+        out = out.when(w.endswith(letter), inner.otherwise(w))
+    return out.otherwise(w)
 
 
 def _m1(stem: Column) -> Column:
@@ -68,51 +76,100 @@ def _always(stem: Column) -> Column:
     return F.lit(True)
 
 
-def stem_tokens(tokens: DataFrame, token: str = "tok", out: str = "stem") -> DataFrame:
-    """Add the stem of each token.  Meant for a table of distinct tokens."""
-    w = F.col("_w")
-    irregular = None
-    for word, stem in IRREGULAR.items():
-        test = F.col(token) == word
-        irregular = F.when(test, stem) if irregular is None else irregular.when(test, stem)
-    df = tokens.withColumn("_fixed", irregular)
-    df = df.withColumn("_w", F.regexp_replace(F.regexp_replace(token, "^y", "Y"), "([aeiou])y", "$1Y"))
-
-    # plurals
-    df = df.withColumn("_w", F.when(w.endswith("ies") & (F.length(w) == 4), F.concat(_cut(w, "ies"), F.lit("ie")))
-                       .otherwise(_first_rule(w, [("sses", _always, "ss"), ("ies", _always, "i"),
-                                                  ("ss", _always, "ss"), ("s", _always, "")])))
-    # past tense and -ing: cut first, repair what is left afterwards
-    ied = F.when(F.length(w) == 4, F.concat(_cut(w, "ied"), F.lit("ie"))).otherwise(F.concat(_cut(w, "ied"), F.lit("i")))
-    eed = F.when(_m1(_cut(w, "eed")), F.concat(_cut(w, "eed"), F.lit("ee"))).otherwise(w)
-    bare = (F.when(w.endswith("ied") | w.endswith("eed"), F.lit(None).cast("string"))
-            .when(w.endswith("ed") & _cut(w, "ed").rlike(HAS_VOWEL), _cut(w, "ed"))
-            .when(w.endswith("ing") & _cut(w, "ing").rlike(HAS_VOWEL), _cut(w, "ing")))
-    df = df.withColumn("_bare", bare)
-    b = F.col("_bare")
+def _mark_y(w: Column) -> Column:
+    marked = F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiou])y", "$1Y")
+    return F.when(w.contains("y"), marked).otherwise(w)
+
+
+def _plural(w: Column) -> Column:
+    rules = [("sses", _always, "ss"), ("ies", _always, "i"), ("ss", _always, "ss"), ("s", _always, "")]
+    short = w.endswith("ies") & (F.length(w) == 4)
+    return F.when(short, _cut(w, "s")).otherwise(_first_rule(w, rules))
+
+
+def _bare(w: Column) -> Column:
+    """The stem before -ed or -ing if it has a vowel, else NULL."""
+    ed = F.when(w.endswith("ied") | w.endswith("eed"), F.lit(None).cast("string")).when(
+        w.endswith("ed") & _cut(w, "ed").rlike(HAS_VOWEL), _cut(w, "ed"))
+    return F.when(w.endswith("d"), ed).when(w.endswith("ing") & _cut(w, "ing").rlike(HAS_VOWEL), _cut(w, "ing"))
+
+
+def _past(w: Column, b: Column) -> Column:
+    """Repair what -ed or -ing left over; -ied and -eed have endings of their own."""
     repaired = (F.when(b.rlike("(at|bl|iz)$"), F.concat(b, F.lit("e")))
                 .when(b.rlike(DOUBLE), _cut(b, "x"))
                 .when(b.rlike(MEASURE_1) & ~b.rlike(MEASURE_2) & (b.rlike(ENDS_CVC) | b.rlike(SHORT_VC)),
                       F.concat(b, F.lit("e")))
                 .otherwise(b))
-    df = df.withColumn("_w", F.when(b.isNotNull(), repaired).when(w.endswith("ied"), ied)
-                       .when(w.endswith("eed"), eed).otherwise(w))
-    # final y
-    df = df.withColumn("_w", F.when(w.rlike("^.+[^aeiouy]y$"), F.concat(_cut(w, "y"), F.lit("i"))).otherwise(w))
-    # suffix lists; -alli is tried again after it became -al
-    df = df.withColumn("_w", F.when(w.endswith("alli") & _m1(_cut(w, "alli")), _cut(w, "li")).otherwise(w))
-    step2 = [(s, _m1, e) for s, e in STEP_2 if s != "logi"]
+    return (F.when(b.isNotNull(), repaired)
+            .when(~w.endswith("d"), w)
+            .when(w.endswith("ied"), F.when(F.length(w) == 4, _cut(w, "d")).otherwise(_cut(w, "ed")))
+            .when(w.endswith("eed") & _m1(_cut(w, "eed")), _cut(w, "d"))
+            .otherwise(w))
+
+
+def _final_y(w: Column) -> Column:
+    return F.when(w.endswith("y") & w.rlike("^.+[^aeiouy]y$"), F.concat(_cut(w, "y"), F.lit("i"))).otherwise(w)
+
+
+def _alli(w: Column) -> Column:
+    """-alli becomes -al before the list it stands in is tried."""
+    return F.when(w.endswith("alli") & _m1(_cut(w, "alli")), _cut(w, "li")).otherwise(w)
+
+
+def _step2(w: Column) -> Column:
+    rules = [(s, _m1, e) for s, e in STEP_2 if s != "logi"]
     logi = F.when(_m1(_cut(w, "ogi")), _cut(w, "i")).otherwise(w)
-    df = df.withColumn("_w", F.when(w.endswith("logi"), logi).otherwise(_first_rule(w, step2)))
-    df = df.withColumn("_w", _first_rule(w, [(s, _m1, e) for s, e in STEP_3]))
-    df = df.withColumn("_w", _first_rule(
-        w, [(s, (lambda stem: _m2(stem) & stem.rlike("[st]$")) if s == "ion" else _m2, "") for s in STEP_4]))
-    # final e and double l
+    return F.when(w.endswith("logi"), logi).otherwise(_first_rule(w, rules, 5))
+
+
+def _step3(w: Column) -> Column:
+    return _first_rule(w, [(s, _m1, e) for s, e in STEP_3], 5)
+
+
+def _step4(w: Column) -> Column:
+    return _first_rule(w, [(s, _m2_after_st if s == "ion" else _m2, "") for s in STEP_4], 6)
+
+
+def _m2_after_st(stem: Column) -> Column:
+    return _m2(stem) & stem.rlike("[st]$")
+
+
+def _final_e(w: Column) -> Column:
     stem = _cut(w, "e")
-    drop_e = _m2(stem) | (_m1(stem) & ~stem.rlike(ENDS_CVC) & ~stem.rlike(SHORT_VC))
-    df = df.withColumn("_w", F.when(w.endswith("e") & drop_e, stem).otherwise(w))
-    df = df.withColumn("_w", F.when(w.endswith("ll") & _m2(_cut(w, "l")), _cut(w, "l")).otherwise(w))
+    drop = _m2(stem) | (_m1(stem) & ~stem.rlike(ENDS_CVC) & ~stem.rlike(SHORT_VC))
+    return F.when(w.endswith("e") & drop, stem).otherwise(w)
 
-    kept = F.length(token) < MIN_LENGTH
-    df = df.withColumn(out, F.when(kept, F.col(token)).otherwise(F.coalesce("_fixed", F.lower(w))))
-    return df.drop("_w", "_fixed", "_bare")
+
+def _double_l(w: Column) -> Column:
+    return F.when(w.endswith("ll") & _m2(_cut(w, "l")), _cut(w, "l")).otherwise(w)
+
+
+def _irregular(token: Column) -> Column:
+    branch = None
+    for word, stem in IRREGULAR.items():
+        branch = F.when(token == word, stem) if branch is None else branch.when(token == word, stem)
+    return F.when(token.isin(*IRREGULAR), branch)
+
+
+def _on_word(step):
+    return lambda s: F.struct(s["tok"].alias("tok"), F.when(s["w"].isNotNull(), step(s["w"])).alias("w"))
+
+
+def stems(tokens: Column) -> Column:
+    """The stems of a token array.  Each step is one pass over the array, so a step's many
+    tests read a finished value and stay inside the row."""
+    x = F.transform(tokens, lambda t: F.struct(
+        t.alias("tok"), F.when(F.length(t) >= MIN_LENGTH, _mark_y(t)).alias("w")))
+    x = F.transform(x, _on_word(_plural))
+    x = F.transform(x, lambda s: F.struct(s["tok"].alias("tok"), s["w"].alias("w"), _bare(s["w"]).alias("b")))
+    x = F.transform(x, lambda s: F.struct(s["tok"].alias("tok"), _past(s["w"], s["b"]).alias("w")))
+    for step in (_final_y, _alli, _step2, _step3, _step4, _final_e, _double_l):
+        x = F.transform(x, _on_word(step))
+    return F.transform(x, lambda s: F.when(s["w"].isNull(), s["tok"]).otherwise(
+        F.coalesce(_irregular(s["tok"]), F.lower(s["w"]))))
+
+
+def stem_tokens(tokens: DataFrame, token: str = "tok", out: str = "stem") -> DataFrame:
+    """Add the stem of each token of a table."""
+    return tokens.withColumn(out, F.get(stems(F.array(token)), F.lit(0)))

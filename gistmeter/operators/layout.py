@@ -5,7 +5,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000  # narrow rows, about 100 MB
+VECTOR_ROWS = 200_000  # rows with a vector
 SALTS = 64
 
 

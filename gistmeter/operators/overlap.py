@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmeter.functions import text
+from gistmeter.functions import porter, text
 from gistmeter.operators.layout import lookup_join
-from gistmeter.operators.tokens import SUMMARY, TEXT, rouge_token_rows, side_rows
+from gistmeter.operators.tokens import SUMMARY, TEXT, side_rows
 
 
 def precision_recall_f1(hits: Column, n_summary: Column, n_text: Column, name: str) -> list[Column]:
@@ -20,13 +20,14 @@ def precision_recall_f1(hits: Column, n_summary: Column, n_text: Column, name: s
     return [f.alias(f"{name} F1"), r.alias(f"{name} Recall"), p.alias(f"{name} Precision")]
 
 
-def rouge_tokens_by_side(pairs: DataFrame, stem: bool = True, stems: DataFrame | None = None) -> DataFrame:
-    """(id, side, toks): overlap tokens in order, one row per text; texts may be empty."""
-    if not stem:
-        return side_rows(pairs, text.rouge_tokens)
-    rows = rouge_token_rows(pairs, True, stems)
-    ordered = F.sort_array(F.collect_list(F.when(F.col("tok").isNotNull(), F.struct("pos", "tok"))))
-    return rows.groupBy("id", "side").agg(F.transform(ordered, lambda x: x["tok"]).alias("toks"))
+def rouge_tokens_by_side(pairs: DataFrame, stem: bool = True) -> DataFrame:
+    """(id, side, toks): overlap tokens in order, one row per text.
+
+    Stems are computed where the tokens are: no shuffle, and no dictionary that grows with
+    the corpus.
+    """
+    sides = side_rows(pairs, text.rouge_tokens)
+    return sides.withColumn("toks", porter.stems(F.col("toks"))) if stem else sides
 
 
 def _gram_scores(sides: DataFrame, n: int) -> DataFrame:
@@ -40,10 +41,9 @@ def _gram_scores(sides: DataFrame, n: int) -> DataFrame:
     return sums.select("id", *precision_recall_f1(F.col("hits"), F.col("s"), F.col("t"), f"ROUGE-{n}"))
 
 
-def rouge_n(pairs: DataFrame, n: int = 1, stem: bool = True, stems: DataFrame | None = None,
-            sides: DataFrame | None = None) -> DataFrame:
+def rouge_n(pairs: DataFrame, n: int = 1, stem: bool = True, sides: DataFrame | None = None) -> DataFrame:
     """(id, ROUGE-n F1, Recall, Precision) from clipped n-gram counts."""
-    return _gram_scores(rouge_tokens_by_side(pairs, stem, stems) if sides is None else sides, n)
+    return _gram_scores(rouge_tokens_by_side(pairs, stem) if sides is None else sides, n)
 
 
 def _lcs(a, b) -> int:
@@ -67,10 +67,9 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((_lcs(x, y) for x, y in zip(a, b)), dtype="int64", count=len(a)))
 
 
-def rouge_l(pairs: DataFrame, stem: bool = True, stems: DataFrame | None = None,
-            sides: DataFrame | None = None) -> DataFrame:
+def rouge_l(pairs: DataFrame, stem: bool = True, sides: DataFrame | None = None) -> DataFrame:
     """(id, lcs, ROUGE-L F1, Recall, Precision)."""
-    sides = rouge_tokens_by_side(pairs, stem, stems) if sides is None else sides
+    sides = rouge_tokens_by_side(pairs, stem) if sides is None else sides
     wide = sides.groupBy("id").agg(F.max(F.when(F.col("side") == TEXT, F.col("toks"))).alias("t"),
                                    F.max(F.when(F.col("side") == SUMMARY, F.col("toks"))).alias("s"))
     empty = F.array().cast("array<string>")

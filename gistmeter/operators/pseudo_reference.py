@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gistmeter.functions import text
 from gistmeter.functions.vectors import as_vector, component_sums
-from gistmeter.operators.layout import lookup_join
+from gistmeter.operators.layout import VECTOR_ROWS, lookup_join
 from gistmeter.operators.similarity import own_key, vector_dim
 from gistmeter.operators.tokens import SUMMARY, TEXT, sentence_rows
 
@@ -29,7 +29,7 @@ def sentence_vectors(pairs: DataFrame, vectors: DataFrame, token_key=own_key, sc
         "id", "side", "sent_pos", "key").count()
     whole = vectors.select("key", F.transform(
         "vec", lambda x: F.floor(x.cast("double") * scale)).alias("vec"))
-    found = lookup_join(counts, whole, "key", how="inner")
+    found = lookup_join(counts, whole, "key", how="inner", broadcast_rows=VECTOR_ROWS)
     sums = found.groupBy("id", "side", "sent_pos").agg(
         F.sum("count").alias("_n"), *component_sums("vec", F.col("count"), dim))
     return sums.select("id", "side", "sent_pos", F.transform(

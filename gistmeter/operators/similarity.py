@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gistmeter.functions import text
 from gistmeter.functions.vectors import as_vector, component_sums, cosine
-from gistmeter.operators.layout import lookup_join
+from gistmeter.operators.layout import VECTOR_ROWS, lookup_join
 from gistmeter.operators.tokens import SUMMARY, TEXT, side_rows
 
 BLOCK = 1024
@@ -31,7 +31,7 @@ def text_vectors(pairs: DataFrame, vectors: DataFrame, token_key=own_key) -> Dat
     dim = vector_dim(vectors)
     rows = side_rows(pairs, text.words).select("id", "side", F.explode("toks").alias("tok"))
     counts = rows.select("id", "side", token_key(F.col("tok")).alias("key")).groupBy("id", "side", "key").count()
-    found = lookup_join(counts, vectors, "key", how="inner")
+    found = lookup_join(counts, vectors, "key", how="inner", broadcast_rows=VECTOR_ROWS)
     sums = found.groupBy("id", "side").agg(
         F.sum("count").alias("_n"), *component_sums("vec", F.col("count").cast("double"), dim))
     return sums.select("id", "side", F.transform(as_vector(dim), lambda x: x / F.col("_n")).alias("vec"))
@@ -72,7 +72,7 @@ def bert_score(pairs: DataFrame, vectors: DataFrame, token_key=own_key, block: i
     rows = side_rows(pairs, text.words).select("id", "side", F.explode("toks").alias("tok"))
     counts = rows.select("id", "side", token_key(F.col("tok")).alias("key")).groupBy("id", "side", "key").agg(
         F.count("*").alias("n"))
-    found = lookup_join(counts, vectors, "key", how="inner")
+    found = lookup_join(counts, vectors, "key", how="inner", broadcast_rows=VECTOR_ROWS)
     rank = F.row_number().over(Window.partitionBy("id", "side").orderBy("key")) - 1
     packed = (found.withColumn("block", F.floor(rank / block)).groupBy("id", "side", "block")
               .agg(F.collect_list(F.struct("key", "n", "vec")).alias("m")))

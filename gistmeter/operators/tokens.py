@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.functions import porter, text
-from gistmeter.operators.layout import lookup_join, materialise
 
 START = "<s>"
 TEXT, SUMMARY = 0, 1
@@ -47,6 +46,10 @@ def ngrams(pairs: DataFrame, n: int = 3) -> DataFrame:
     return grams.select("id", "side", "pos", "g.*")
 
 
+def _joined(k: int):
+    return lambda g: F.concat_ws(" ", *[g[f"w{i + 1}"] for i in range(k)])
+
+
 def everygrams(pairs: DataFrame, n: int = 2, pad: str = "<unk>") -> DataFrame:
     """All orders 1..n per sentence of the text, padded on both sides: (id, n, gram, count)."""
     sents = pairs.select("id", F.explode(text.sentences(F.col("text"))).alias("sent"))
@@ -56,7 +59,7 @@ def everygrams(pairs: DataFrame, n: int = 2, pad: str = "<unk>") -> DataFrame:
         F.struct(
             F.lit(k).alias("n"),
             F.transform(text.gram_structs(F.col("toks"), k),
-                        lambda g, k=k: F.concat_ws(" ", *[g[f"w{i + 1}"] for i in range(k)])).alias("grams"),
+                        _joined(k)).alias("grams"),
         )
         for k in range(1, n + 1)
     ])
@@ -68,16 +71,3 @@ def stem_dictionary(pairs: DataFrame, split=text.rouge_tokens) -> DataFrame:
     """(tok, stem) for each distinct token of the corpus, stemmed once."""
     toks = pairs.select(F.explode(F.array_distinct(F.concat(split(F.col("text")), split(F.col("summary"))))).alias("tok"))
     return porter.stem_tokens(toks.distinct())
-
-
-def rouge_token_rows(pairs: DataFrame, stem: bool = True, stems: DataFrame | None = None) -> DataFrame:
-    """(id, side, pos, tok) for the overlap metrics, stems in place of tokens if wanted.
-
-    A text without tokens keeps one row of NULLs.
-    """
-    rows = side_rows(pairs, text.rouge_tokens).select("id", "side", F.posexplode_outer("toks").alias("pos", "tok"))
-    if not stem:
-        return rows
-    if stems is None:
-        stems = materialise(stem_dictionary(pairs))
-    return lookup_join(rows, stems, "tok").select("id", "side", "pos", F.col("stem").alias("tok"))

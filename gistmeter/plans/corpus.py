@@ -155,7 +155,7 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
         (F.col("l_extendedprice") * F.col("l_discount")).alias("rebate"),
-        (F.lit(100.0) - F.col("l_extendedprice") * F.col("l_discount") / 100).alias("remainder"),
+        (F.lit(20.0) - F.col("l_extendedprice") * F.col("l_discount") / 100).alias("remainder"),
         F.when(F.col("l_returnflag") != "N", F.col("l_tax")).alias("tax_if_closed"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from gistmeter.operators import (distribution, grammar, overlap, perplexity, pseudo_reference, readability, similarity,
                                  surprisal)
 from gistmeter.operators.layout import materialise
-from gistmeter.operators.tokens import stem_dictionary
 
 FREE_METRICS = ["embedding_similarity", "flesch_score", "grammar_score", "perplexity", "sdc_unigram", "shannon_score",
                 "supert_score"]
@@ -23,11 +22,9 @@ def _left_join(pairs: DataFrame, parts: list[DataFrame]) -> DataFrame:
 
 
 def base_scores(pairs: DataFrame, vectors: DataFrame, token_key=similarity.own_key, synonyms: DataFrame | None = None,
-                stem: bool = True, stems: DataFrame | None = None, subsequence: bool = True) -> DataFrame:
+                stem: bool = True, subsequence: bool = True) -> DataFrame:
     """(id, 12 overlap scores, three more with synonyms); 0.0 where a score has no value."""
-    if stem and stems is None:
-        stems = materialise(stem_dictionary(pairs))
-    sides = overlap.rouge_tokens_by_side(pairs, stem, stems)
+    sides = overlap.rouge_tokens_by_side(pairs, stem)
     parts = [similarity.bert_score(pairs, vectors, token_key),
              overlap.rouge_n(pairs, 1, sides=sides), overlap.rouge_n(pairs, 2, sides=sides)]
     if subsequence:
