@@ -229,7 +229,8 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     boxes = boxes.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     cells = F.array(*[
         F.struct(F.lit(c).alias("metric"),
-                 F.least(F.floor((_value(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+                 F.when(_value(c).isNotNull(), F.least(F.floor((_value(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)))
+                 .cast("int").alias("bin"))
         for c, (lo, hi) in spans.items()])
     counts = df.select(F.inline(cells)).filter("bin is not null").groupBy("metric", "bin").count()
     edge = (F.col("hi") - F.col("lo")) / bins

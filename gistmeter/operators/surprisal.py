@@ -114,22 +114,29 @@ def kn_prob(counts: DataFrame, n: int = 2) -> DataFrame:
     return df.withColumn("prob", prob)
 
 
-def surprisal(pairs: DataFrame, n: int = 2) -> DataFrame:
-    """(id, i_d, i_ds, i_dd): bits of the text alone, after the summary, and of its last
-    sentence after the earlier ones."""
+def _totals(pairs: DataFrame, n: int) -> DataFrame:
+    """(id, i_d, i_ds, i_dd, gain).  The gain i_d - i_ds is summed from the n-grams whose
+    counts differ, so rounding cannot leave a gain where nothing changed."""
     scored = kn_prob(kn_counts(pairs, n), n)
     bits = F.greatest(-F.log2("prob"), F.lit(0.0))
 
-    def total(column):
-        return F.coalesce(F.sum(F.when(F.col(column) > 0, F.col(column) * bits)), F.lit(0.0))
+    def total(count):
+        return F.coalesce(F.sum(F.when(count != 0, count * bits)), F.lit(0.0))
 
     return scored.groupBy("id").agg(
-        total("e_alone").alias("i_d"), total("e_summary").alias("i_ds"), total("e_earlier").alias("i_dd"))
+        total(F.col("e_alone")).alias("i_d"), total(F.col("e_summary")).alias("i_ds"),
+        total(F.col("e_earlier")).alias("i_dd"), total(F.col("e_alone") - F.col("e_summary")).alias("gain"))
+
+
+def surprisal(pairs: DataFrame, n: int = 2) -> DataFrame:
+    """(id, i_d, i_ds, i_dd): bits of the text alone, after the summary, and of its last
+    sentence after the earlier ones."""
+    return _totals(pairs, n).drop("gain")
 
 
 def shannon_score(pairs: DataFrame, n: int = 4) -> DataFrame:
     """(id, i_d, i_ds, i_dd, shannon_score); the study scores with n=2."""
-    gain = F.greatest(F.col("i_d") - F.col("i_ds"), F.lit(0.0))
     room = F.col("i_d") - F.col("i_dd")
-    return surprisal(pairs, n).withColumn(
-        "shannon_score", F.when(room > 0, F.try_divide(gain, room)).otherwise(F.lit(0.0)))
+    gain = F.greatest("gain", F.lit(0.0))
+    score = F.when(room > 0, F.try_divide(gain, room)).otherwise(F.lit(0.0))
+    return _totals(pairs, n).select("id", "i_d", "i_ds", "i_dd", score.alias("shannon_score"))

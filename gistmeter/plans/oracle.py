@@ -117,9 +117,13 @@ FRAGMENTS["surprisal"] = """
 SELECT id, coalesce(sum(greatest(-log2(p), 0)) FILTER (kind = 'd'), 0) AS i_d,
        coalesce(sum(greatest(-log2(p), 0)) FILTER (kind = 'ds'), 0) AS i_ds,
        coalesce(sum(greatest(-log2(p), 0)) FILTER (kind = 'dd'), 0) AS i_dd FROM knp GROUP BY id"""
+FRAGMENTS["gained"] = """
+SELECT id, sum(d * greatest(-log2(p), 0)) AS gain FROM (
+  SELECT id, c, w, any_value(p) AS p, count(*) FILTER (kind = 'd') - count(*) FILTER (kind = 'ds') AS d FROM knp GROUP BY id, c, w)
+WHERE d <> 0 GROUP BY id"""
 FRAGMENTS["shannon"] = """
-SELECT id, i_d, i_ds, i_dd, CASE WHEN i_d - i_dd > 0 THEN greatest(i_d - i_ds, 0) / (i_d - i_dd) ELSE 0.0 END AS shannon_score
-FROM surprisal"""
+SELECT id, i_d, i_ds, i_dd, CASE WHEN i_d - i_dd > 0 THEN greatest(coalesce(gain, 0), 0) / (i_d - i_dd) ELSE 0.0 END AS shannon_score
+FROM surprisal LEFT JOIN gained USING (id)"""
 # --- readability and findings
 FRAGMENTS["aword"] = f"SELECT id, unnest({ascii_words('summary')}) AS word FROM p"
 FRAGMENTS["fcount"] = r"""

@@ -416,9 +416,10 @@ _POWER = _scaled(_yj("x", _LAM), _yj("lo", _LAM), _yj("hi", _LAM))
 query("q66_log1p_scale", f"SELECT id, {r6(_log_scaled('value'), 'value')} FROM clip_value")(
     lambda s, d: stats.log1p_scale(corpus.event_values(s, d), ["value"]))
 query("q67_yeo_johnson", f"SELECT id, {r6(_yj('remainder', '0.5::DOUBLE'), 'half')}, {r6(_yj('remainder', '0.0::DOUBLE'), 'zero')}, "
-      f"{r6(_yj('remainder', '2.0::DOUBLE'), 'two')} FROM measures")(
-    lambda s, d: corpus.measures(s, d).select("id", *[
-        transforms.yeo_johnson(F.col("remainder"), F.lit(lam)).alias(n) for n, lam in (("half", 0.5), ("zero", 0.0), ("two", 2.0))]))
+      f"{r6(_yj('debt', '2.0::DOUBLE'), 'two')} FROM (SELECT id, remainder, -abs(remainder) AS debt FROM measures)")(
+    lambda s, d: corpus.measures(s, d).withColumn("debt", -F.abs("remainder")).select("id", *[
+        transforms.yeo_johnson(F.col(c), F.lit(lam)).alias(n)
+        for c, n, lam in (("remainder", "half", 0.5), ("remainder", "zero", 0.0), ("debt", "two", 2.0))]))
 query("q68_yeo_johnson_lambda", f'SELECT \'remainder\' AS metric, m / 1000.0::DOUBLE AS "lambda" FROM {_top_raw}')(
     lambda s, d: stats.yeo_johnson_lambda(corpus.measures(s, d), ["remainder"]))
 query("q69_power_scale", f"SELECT id, {r6(_POWER, 'remainder')} FROM clip_remainder")(
@@ -426,12 +427,19 @@ query("q69_power_scale", f"SELECT id, {r6(_POWER, 'remainder')} FROM clip_remain
 query("q70_minmax_scale", "SELECT id, " + ", ".join(r6(_scaled(c, f"(SELECT min({c}) FROM measures)", f"(SELECT max({c}) FROM measures)"), c)
                                                      for c in MEASURES) + " FROM measures")(
     lambda s, d: stats.minmax_scale(corpus.measures(s, d)))
-_plain = _scaled("x", "lo", "hi")
-query("q71_normalize", "SELECT id, " + ", ".join(
-    f"{c}_n AS {c}" for c in MEASURES) + " FROM " + " JOIN ".join(
-    f"(SELECT id, CASE WHEN (SELECT skewness({c}) FROM measures) > 0.5 THEN round({_log_scaled(c)}, 6) "
-    f"WHEN (SELECT skewness({c}) FROM measures) < -0.5 THEN round({_POWER}, 6) ELSE round({_plain}, 6) END AS {c}_n FROM clip_{c})"
-    + (" USING (id)" if i else "") for i, c in enumerate(MEASURES)))(lambda s, d: stats.normalize(corpus.measures(s, d)))
+
+def _normalized(c: str) -> str:
+    x = f"least(greatest({c}, b_{c}.lo), b_{c}.hi)"
+    lo, hi = f"b_{c}.lo", f"b_{c}.hi"
+    log = _scaled(f"ln(1 + {x})", f"ln(1 + {lo})", f"ln(1 + {hi})")
+    power = _scaled(_yj(x, _LAM), _yj(lo, _LAM), _yj(hi, _LAM))
+    skewness = f"(SELECT skewness({c}) FROM measures)"
+    return (f"round(CASE WHEN {c} IS NULL THEN NULL WHEN {skewness} > 0.5 THEN {log} WHEN {skewness} < -0.5 THEN {power} "
+            f"ELSE {_scaled(x, lo, hi)} END, 6) + 0.0 AS {c}")
+
+
+query("q71_normalize", f"SELECT id, {', '.join(_normalized(c) for c in MEASURES)} FROM measures, "
+      + ", ".join(f"bound_{c} AS b_{c}" for c in MEASURES))(lambda s, d: stats.normalize(corpus.measures(s, d)))
 S.FRAGMENTS["longm"] = _stack("{c}::DOUBLE AS x")
 S.FRAGMENTS["ends"] = "SELECT metric, min(x) AS lo, max(x) AS hi FROM longm WHERE x IS NOT NULL GROUP BY metric"
 S.FRAGMENTS["hcount"] = """
