@@ -14,8 +14,9 @@ from gistmeter.operators.relational import numeric_columns, quoted
 
 LOW, HIGH = 0.01, 0.99
 SKEWED = 0.5
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 50_000
 ACCURACY = 10_000
+EXPONENT_COLUMNS = 4
 # Passes over the exponent, in thousandths: half width and step of each.
 EXPONENT_PASSES = [(4000, 400), (400, 40), (40, 4)]
 
@@ -66,14 +67,9 @@ def quantiles(df: DataFrame, cols: list[str], probs=(LOW, HIGH), direct_rows: in
         small = {w: f for w, f in wanted.items() if f[3] <= direct_rows}
         large = {w: f for w, f in wanted.items() if w not in small}
         if small:
-            picks = []
-            for (i, k), (low, high, below, _) in small.items():
-                x = _inside(i, low, high)
-                at = 0.0 if small[(i, k)][3] < 2 else (k - below) / (small[(i, k)][3] - 1)
-                picks.append(F.percentile(x, F.lit(at)))
-            # the position is a whole rank, so nothing is interpolated between two values
-            got = values.agg(*[p.alias(f"p{j}") for j, p in enumerate(picks)]).first()
-            found.update({w: got[j] for j, w in enumerate(small)})
+            # a whole rank is asked for each time, so nothing is interpolated between two values
+            at = {w: (w[1] - f[2]) / max(f[3] - 1, 1) for w, f in small.items()}
+            found.update(_per_range(values, small, lambda x, ws: F.percentile(x, F.array(*[F.lit(at[w]) for w in ws]))))
         wanted = _narrow(values, large, accuracy, found) if large else {}
     out = {}
     for i, c in enumerate(cols):
@@ -90,25 +86,34 @@ def _inside(i: int, low, high):
     return x if low is None else F.when((x >= low) & (x <= high), x)
 
 
+def _per_range(values: DataFrame, wanted: dict, aggregate) -> dict:
+    """One aggregate per column and fence for all ranks inside it; its array has an entry per rank."""
+    groups: dict[tuple, list] = {}
+    for w, (low, high, _, _) in wanted.items():
+        groups.setdefault((w[0], low, high), []).append(w)
+    sums = [aggregate(_inside(*g), ws).alias(f"g{j}") for j, (g, ws) in enumerate(groups.items())]
+    got = values.agg(*sums).first()
+    return {w: got[j][n] for j, ws in enumerate(groups.values()) for n, w in enumerate(ws)}
+
+
 def _narrow(values: DataFrame, wanted: dict, accuracy: int, found: dict) -> dict:
     """One fencing step for all wanted ranks: new bounds, then exact counts below and inside."""
     keys = list(wanted)
-    aims = []
-    for i, k in keys:
-        low, high, below, n = wanted[(i, k)]
-        at = (k - below) / max(n - 1, 1)
-        reach = 2.0 / accuracy
-        ends = F.array(F.lit(max(at - reach, 0.0)), F.lit(min(at + reach, 1.0)))
-        x = _inside(i, low, high)
-        aims.append(F.struct(F.percentile_approx(x, ends, accuracy).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi")))
-    got = values.agg(*[a.alias(f"a{j}") for j, a in enumerate(aims)]).first()
+    reach = 2.0 / accuracy
+    at = {w: (w[1] - f[2]) / max(f[3] - 1, 1) for w, f in wanted.items()}
+
+    def ends(x, ws):
+        marks = [F.lit(min(max(at[w] + side, 0.0), 1.0)) for w in ws for side in (-reach, reach)]
+        q, lo, hi = F.percentile_approx(x, F.array(*marks), accuracy), F.min(x), F.max(x)
+        return F.array(*[F.struct(F.get(q, F.lit(2 * n)).alias("low"), F.get(q, F.lit(2 * n + 1)).alias("high"),
+                                  lo.alias("lo"), hi.alias("hi")) for n in range(len(ws))])
+
+    got = _per_range(values, wanted, ends)
     fences, counts = [], []
-    for j, (i, k) in enumerate(keys):
-        _, _, below, n = wanted[(i, k)]
-        at = (k - below) / max(n - 1, 1)
-        reach = 2.0 / accuracy
-        low = got[j]["lo"] if at - reach <= 0 else got[j]["q"][0]
-        high = got[j]["hi"] if at + reach >= 1 else got[j]["q"][1]
+    for i, k in keys:
+        here = got[(i, k)]
+        low = here["lo"] if at[(i, k)] - reach <= 0 else here["low"]
+        high = here["hi"] if at[(i, k)] + reach >= 1 else here["high"]
         if (low, high) == wanted[(i, k)][:2] and low < high:
             # two frequent values on both sides of the rank: part them in the middle
             high = low + (high - low) / 2
@@ -151,25 +156,41 @@ def yeo_johnson_lambda(df: DataFrame, cols: list[str], bounds: dict | None = Non
 
 
 def exponents(df: DataFrame, cols: list[str], bounds: dict | None = None) -> dict[str, float]:
-    spark = df.sparkSession
-    if not cols:
-        return {}
+    """The best exponent per column.  All tries of a pass are aggregates of one scan, without
+    a row per try; a few columns are handled per scan to keep the aggregation small."""
+    found = {}
+    for start in range(0, len(cols), EXPONENT_COLUMNS):
+        found.update(_exponents(df, cols[start:start + EXPONENT_COLUMNS], bounds))
+    return found
+
+
+def _powered(i: int, milli: int):
+    """The power transform of column x<i>, from its sign and u<i> = log(1 + |x|)."""
+    x, u, lam = F.col(f"x{i}"), F.col(f"u{i}"), milli / 1000.0
+    up = (F.exp(u * F.lit(lam)) - 1) / F.lit(lam) if milli else u
+    down = (F.exp(u * F.lit(2 - lam)) - 1) / F.lit(2 - lam) if milli != 2000 else u
+    return F.when(x >= 0, up).when(x < 0, -down)
+
+
+def _exponents(df: DataFrame, cols: list[str], bounds: dict | None) -> dict[str, float]:
     x = {c: _value(c) for c in cols}
     if bounds:
         x = {c: X.clip(x[c], F.lit(bounds[c][0]), F.lit(bounds[c][1])) for c in cols}
-    centre = {c: 0 for c in cols}
+    rows = df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(cols)])
+    rows = rows.select("*", *[F.log1p(F.abs(f"x{i}")).alias(f"u{i}") for i in range(len(cols))])
+    centre = dict.fromkeys(cols, 0)
     for half, step in EXPONENT_PASSES:
-        tries = F.array(*[
-            F.struct(F.lit(c).alias("metric"), x[c].alias("x"),
-                     F.sequence(F.lit(centre[c] - half), F.lit(centre[c] + half), F.lit(step)).alias("milli"))
-            for c in cols])
-        rows = df.select(F.inline(tries)).filter("x is not null").select("metric", "x", F.explode("milli").alias("milli"))
-        y = X.yeo_johnson(F.col("x"), F.col("milli") / F.lit(1000.0))
-        sums = rows.groupBy("metric", "milli").agg(
-            F.count("x").alias("n"), F.var_pop(y).alias("v"), F.sum(X.signed_log1p(F.col("x"))).alias("s"))
-        fit = F.expr("-n / 2.0 * ln(nullif(v, 0)) + (milli / 1000.0D - 1) * s")
-        top = sums.withColumn("fit", fit).groupBy("metric").agg(F.max_by("milli", F.struct("fit", -F.col("milli"))).alias("m"))
-        centre.update({r["metric"]: r["m"] for r in top.collect()})
+        tries = {c: range(centre[c] - half, centre[c] + half + 1, step) for c in cols}
+        sums = []
+        for i, c in enumerate(cols):
+            sums += [F.count(f"x{i}").alias(f"n{i}"),
+                     F.sum(F.when(F.col(f"x{i}") >= 0, F.col(f"u{i}")).otherwise(-F.col(f"u{i}"))).alias(f"s{i}")]
+            sums += [F.var_pop(_powered(i, m)).alias(f"v{i}_{j}") for j, m in enumerate(tries[c])]
+        got = rows.agg(*sums).first()
+        for i, c in enumerate(cols):
+            fits = [(-got[f"n{i}"] / 2 * math.log(got[f"v{i}_{j}"]) + (m / 1000.0 - 1) * got[f"s{i}"], -m)
+                    for j, m in enumerate(tries[c]) if got[f"v{i}_{j}"]]
+            centre[c] = -max(fits)[1] if fits else centre[c] - half
     return {c: centre[c] / 1000.0 for c in cols}
 
 
