@@ -263,9 +263,9 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
 def pearson(a, b):
     """Correlation of the rows where both are there; NULL if one does not vary."""
     both = a.isNotNull() & b.isNotNull()
-    moves = F.min(F.when(both, a)) < F.max(F.when(both, a))
-    also = F.min(F.when(both, b)) < F.max(F.when(both, b))
-    return F.when(moves & also, F.corr(a, b))
+    a, b = F.when(both, a), F.when(both, b)
+    moves = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(moves, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

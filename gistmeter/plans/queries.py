@@ -75,7 +75,7 @@ def _round_trip(form: str):
         path = scratch(spark)
         scores = readability.flesch_score(corpus.pairs_doc(spark, sf_dir)).withColumn("id", F.col("id").cast("string"))
         sources.write_scores(scores, path, form)
-        return (spark.read.schema(scores.schema).options(**sources.CSV_OPTIONS).csv(path) if form == "csv"
+        return (spark.read.schema(scores.schema).options(**sources.CSV_READ).csv(path) if form == "csv"
                 else sources.read_scores(spark, path, scores.schema))
     return run
 

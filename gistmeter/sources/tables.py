@@ -19,14 +19,17 @@ HUMAN_RATED = T.StructType(NEWS.fields + _table(
     ("note_human", _TEXT), ("overall", _NUMBER), ("accuracy", _NUMBER), ("coverage", _NUMBER), ("coherence", _NUMBER)).fields)
 CACHE = _table(("entity", _TEXT), ("qid", _TEXT), ("last_updated", T.LongType()))
 
-# A quoted field may hold line breaks and doubled quotes; an empty text is not a missing one.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": ""}
+# A quoted field may hold line breaks and doubled quotes.  A quoted empty field is an empty
+# text, a bare one is missing.
+_CSV = {"header": "true", "quote": '"', "escape": '"'}
+CSV_READ = {**_CSV, "multiLine": "true", "emptyValue": "", "nullValue": "\u0000"}
+CSV_WRITE = {**_CSV, "emptyValue": '""', "nullValue": ""}
 
 
 def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIRS) -> DataFrame:
     """Header CSV with quoted multi-line text.  Such a file is read by one task, so large
     tables should come as many files or as Parquet."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**CSV_READ).csv(path)
 
 
 def read_scores(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -37,8 +40,7 @@ def read_scores(spark: SparkSession, path: str, schema: T.StructType | None = No
 def write_scores(df: DataFrame, path: str, form: str = "parquet", mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode)
     if form == "csv":
-        options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
-        writer.options(**options).csv(path)
+        writer.options(**CSV_WRITE).csv(path)
     else:
         writer.parquet(path)
 
