@@ -279,15 +279,22 @@ S.FRAGMENTS["kg"] = """
 SELECT p.id, coalesce(t, 0)::BIGINT AS n_text, coalesce(b, 0)::BIGINT AS n_shared, coalesce(b, 0)::DOUBLE / greatest(coalesce(t, 0), 1) AS kg_score
 FROM p LEFT JOIN (SELECT id, sum(s0) AS t, sum(s0 * s1) AS b FROM (
   SELECT id, qid, max((side = 0)::INT) AS s0, max((side = 1)::INT) AS s1 FROM links GROUP BY id, qid) GROUP BY id) USING (id)"""
+
+
+def _aliases(p: DataFrame) -> DataFrame:
+    """The alias table, written once: it is counted before it is joined."""
+    return materialise(corpus.alias_table(p))
+
+
 on_pairs("q47_entity_mentions", DOC, "SELECT id, side, entity FROM mention", entities.entity_mentions)
 on_pairs("q47_gazetteer_mentions", DOC, "SELECT id, side, entity FROM mention WHERE entity IN (SELECT entity FROM alias1)",
-         lambda p: entities.entity_mentions(p, corpus.alias_table(p)))
+         lambda p: entities.entity_mentions(p, _aliases(p)))
 on_pairs("q48_link_entities", DOC, "SELECT id, side, qid FROM links",
-         lambda p: entities.link_entities(entities.entity_mentions(p), corpus.alias_table(p)))
+         lambda p: entities.link_entities(entities.entity_mentions(p), _aliases(p)))
 
 
 def _on_cache(name: str, sql: str, fn):
-    on_pairs(name, DOC, sql, lambda p: fn(p, materialise(corpus.alias_table(p))))
+    on_pairs(name, DOC, sql, lambda p: fn(p, _aliases(p)))
 
 
 def _requests(p):
@@ -308,11 +315,11 @@ _on_cache("q51_cache_stats", "SELECT count(*) AS total, count(qid) AS matches FR
 _on_cache("q52_cache_expire", f"SELECT entity, qid, last_updated FROM cached WHERE last_updated >= {corpus.NOW} - 30 * 86400",
           lambda p, a: entities.cache_expire(corpus.cache_table(a), corpus.NOW))
 on_pairs("q53_kg_score", DOC, f"SELECT {cols('id', 'n_text', 'n_shared', rounded=('kg_score',))} FROM kg",
-         lambda p: entities.kg_score(p, corpus.alias_table(p)))
+         lambda p: entities.kg_score(p, _aliases(p)))
 with_vectors("q54_kg_bertscore", DOC, "SELECT kg.id AS id, "
              + r6('0.7::DOUBLE * coalesce("BERT F1", 0) + (1 - 0.7::DOUBLE) * kg_score', "kg_bertscore")
              + " FROM kg LEFT JOIN bert ON bert.id = kg.id",
-             lambda p, v, k: entities.kg_bertscore(p, corpus.alias_table(p), v, k))
+             lambda p, v, k: entities.kg_bertscore(p, _aliases(p), v, k))
 
 # --- overlap baselines
 
