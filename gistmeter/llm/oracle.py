@@ -8,4 +8,34 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id NULLS LAST)
 """
 
-ORACLES = {"op1_exact_dedup": OP1}
+OP8 = r"""
+WITH l AS (SELECT doc_id, i, lines[i] AS line,
+                  trim(translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+           FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+     r AS (SELECT k, min(doc_id) AS first FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+     m AS (SELECT l.*, r.k IS NOT NULL AND r.first <> l.doc_id AS gone FROM l LEFT JOIN r ON l.k = r.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+# conversation -1 is added as the query does
+OP5_TURNS = """
+SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+"""
+OP5 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM ({OP5_TURNS})),
+     f AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\\\\\[\\]<]', '', 'g')) AS esc FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(esc + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6
+                ELSE 16 + length(role) + length(regexp_replace(role, '[^\\\\\\[\\]<]', '', 'g')) END))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op5_chat_formatting": OP5, "op8_line_dedup": OP8}
