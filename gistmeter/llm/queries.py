@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmeter.llm import byte_bpe, chat, exact_dedup, line_dedup, sharding
+from gistmeter.llm import byte_bpe, chat, exact_dedup, line_dedup, sharding, token_store
+from gistmeter.llm.shared import fresh_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,4 +39,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_chat_formatting, op8_line_dedup, op9_byte_bpe)}
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "token-files")
+    manifest = token_store.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_store.read_documents(manifest, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_chat_formatting, op8_line_dedup, op9_byte_bpe, op10_token_output)}
