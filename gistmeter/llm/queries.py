@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmeter.llm import byte_bpe, chat, decontaminate, exact_dedup, line_dedup, quality, sharding, token_store
+from gistmeter.llm import byte_bpe, chat, decontaminate, exact_dedup, kneser_ney, line_dedup, quality, sharding, token_store
 from gistmeter.llm.shared import fresh_folder
 
 
@@ -40,6 +40,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = kneser_ney.held_out(F.col("doc_id"))
+    model = kneser_ney.train(docs.filter(~held_out))
+    return kneser_ney.scored(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                                                 F.lit(model.total if model else 0).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -57,4 +65,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality_classifier, op5_chat_formatting, op6_decontamination,
-                                   op8_line_dedup, op9_byte_bpe, op10_token_output)}
+                                   op7_lm_scoring, op8_line_dedup, op9_byte_bpe, op10_token_output)}
