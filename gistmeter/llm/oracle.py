@@ -38,4 +38,18 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op5_chat_formatting": OP5, "op8_line_dedup": OP8}
+OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) = 1 THEN l
+                  ELSE list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) END AS g FROM w),
+     e AS (SELECT doc_id, len(g) AS n, unnest(g) AS v FROM s),
+     i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
+           FROM e a JOIN e b ON a.v = b.v AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY 1, 2),
+     k AS (SELECT a, b FROM i WHERE 100 * shared >= 80 * (na + nb - shared)),
+     r AS (SELECT a AS node, a AS reach FROM k UNION SELECT r.node, k.b FROM r JOIN k ON r.reach = k.a)
+SELECT s.doc_id, len(g) AS n_shingles, coalesce(m, s.doc_id) AS component_id, coalesce(m, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN (SELECT node, min(reach) AS m FROM r GROUP BY node) c ON c.node = s.doc_id
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op4_minhash_near_dedup": OP4, "op5_chat_formatting": OP5, "op8_line_dedup": OP8}

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmeter.llm import byte_bpe, chat, decontaminate, exact_dedup, kneser_ney, line_dedup, quality, sharding, token_store
+from gistmeter.llm import byte_bpe, chat, decontaminate, exact_dedup, kneser_ney, line_dedup, minhash, quality, sharding, token_store
 from gistmeter.llm.shared import fresh_folder
 
 
@@ -29,6 +29,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
@@ -64,5 +68,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality_classifier, op5_chat_formatting, op6_decontamination,
-                                   op7_lm_scoring, op8_line_dedup, op9_byte_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality_classifier, op4_minhash_near_dedup, op5_chat_formatting,
+                                   op6_decontamination, op7_lm_scoring, op8_line_dedup, op9_byte_bpe, op10_token_output)}
