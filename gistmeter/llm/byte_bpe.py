@@ -131,13 +131,16 @@ def _tools(path: str, pattern: str) -> tuple[Encoder, Splitter, Memo]:
     return encoder, Splitter(class_probe(pattern)), Memo(lambda pieces: map(encoder.encode, pieces), MEMO)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> DataFrame:
-    """(doc_id, ids binary, decoded string), one row per row of `docs`; with `digest`
-    (doc_id, n_tokens, ids_sha256, decoded_sha256).
+COLUMNS = {"n_tokens": pa.int64(), "ids": pa.binary(), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
+_SQL = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
 
-    ids are little-endian unsigned 32-bit numbers; decoded is made from them.  `pattern` must be the split
-    pattern of `pretokens`.  A null or empty text has no ids.  Repeated rows are encoded each on its own,
-    other columns are ignored, and an empty table gives an empty result.
+
+def encoded(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """doc_id and the asked of COLUMNS, one row per row of `docs`.
+
+    ids are little-endian unsigned 32-bit numbers; what is decoded is made from them.  `pattern` must be the
+    split pattern of `pretokens`.  A null or empty text has no ids.  Repeated rows are encoded each on its
+    own, other columns are ignored, and an empty table gives an empty result.
 
     No shuffle.  Slices of about a megabyte are split at once, distinct pieces are encoded once each, and
     what is remembered between slices is bounded.
@@ -147,21 +150,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> D
         for batch in batches:
             data, offsets = text_column(batch)
             for lo, hi in row_slices(offsets, SLICE):
-                own = offsets[lo:hi + 1] - offsets[lo]
-                ids, ends = memo.ids(data[offsets[lo]:offsets[hi]], splitter, own)
-                begins = np.concatenate([[0], ends[:-1]])
-                rows = [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
-                texts = [encoder.decode(r.tolist()) for r in rows]
-                packed = [r.astype("<u4").tobytes() for r in rows]
-                columns = [batch.column(0).slice(lo, hi - lo)]
-                if digest:
-                    columns += [pa.array(ends - begins), pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
-                                pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    columns += [pa.array(packed, pa.binary()), pa.array([t.decode() for t in texts], pa.string())]
-                    names = ["doc_id", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids binary, decoded string"
-    return text_documents(docs).mapInArrow(task, schema)
+                ids, ends = memo.ids(data[offsets[lo]:offsets[hi]], splitter, offsets[lo:hi + 1] - offsets[lo])
+                rows = np.split(ids, ends[:-1])
+                made = {"n_tokens": [len(r) for r in rows], "ids": [r.astype("<u4").tobytes() for r in rows],
+                        "decoded": [encoder.decode(r.tolist()) for r in rows]}
+                made |= {f"{c}_sha256": [hashlib.sha256(x).hexdigest() for x in made[c]] for c in ("ids", "decoded") if f"{c}_sha256" in columns}
+                made["decoded"] = [x.decode() for x in made["decoded"]] if "decoded" in columns else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(made[c], COLUMNS[c]) for c in columns]], names=["doc_id", *columns])
+
+    return text_documents(docs).mapInArrow(task, ", ".join(["doc_id long", *[f"{c} {_SQL[COLUMNS[c]]}" for c in columns]]))

@@ -240,5 +240,16 @@ def _matched(batch: pa.RecordBatch, passages: Passages) -> list[tuple]:
     return out
 
 
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return matches(docs, benchmark).select("doc_id").distinct()
+def without_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no passage by the rule of `matches`; no shuffle."""
+    for block in blocks(benchmark, block_chars, q):
+        shared = docs.sparkSession.sparkContext.broadcast(Passages.of(block, q, share))
+        asked = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("rest"))
+
+        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = {m[0] for m in _matched(batch, shared.value)}
+                yield batch.select([2]).filter(pa.array([r not in held for r in batch.column(0).to_pylist()], pa.bool_()))
+
+        docs = asked.mapInArrow(task, asked.select("rest").schema).select("rest.*")
+    return docs

@@ -59,7 +59,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digest=True)
+    return byte_bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN,
+                            ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
