@@ -53,15 +53,16 @@ def verified_recipes(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
     clash = written(chunk_table(docs, fingerprint).groupBy("fp").count().filter("count > 1").select("fp"), "clashes")
     if clash.isEmpty():
         return base.withColumn("twins", F.lit(""))
-    holders = base.select("doc_id", F.explode("recipe").alias("fp")).join(clash, "fp", "left_semi").select("doc_id").distinct()
-    placed = (text_documents(docs).join(holders, "doc_id", "left_semi")
-              .select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(chunks(normalised(F.col("text")))).alias("pos", "chunk"))
+    holders = base.select("row", F.explode("recipe").alias("fp")).join(clash, "fp", "left_semi").select("row").distinct()
+    placed = (text_documents(docs).withColumn("row", F.xxhash64("text")).join(holders, "row", "left_semi")
+              .select("doc_id", "row", F.posexplode(chunks(normalised(F.col("text")))).alias("pos", "chunk"))
               .withColumn("fp", fingerprint("chunk")).join(clash, "fp", "left_semi"))
     numbered = placed.select("fp", "chunk").distinct().withColumn(
         "twin", F.row_number().over(Window.partitionBy("fp").orderBy("chunk")))
     twins = (placed.join(numbered, ["fp", "chunk"]).groupBy("doc_id", "row")
              .agg(F.to_json(F.array_sort(F.collect_set(F.struct("pos", "twin")))).alias("twins")))
-    return base.join(twins, ["doc_id", "row"], "left").withColumn("twins", F.coalesce("twins", F.lit("")))
+    same = (base["row"] == twins["row"]) & base["doc_id"].eqNullSafe(twins["doc_id"])
+    return base.join(twins, same, "left").select(base["*"], F.coalesce(twins["twins"], F.lit("")).alias("twins"))
 
 
 def exact_duplicates(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
