@@ -1,29 +1,59 @@
 """Physical helpers: checkpoints and dictionary joins that survive hot keys."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000  # narrow rows, about 100 MB
-VECTOR_ROWS = 200_000  # rows with a vector
-SALTS = 64
+BROADCAST_BYTES = 64 << 20
+SALT_ROWS = 100_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is named."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gistmeter-")
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir.  A cluster must name it; only a local session gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="gistmeter-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, what: str = "table") -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: a lost executor costs no recomputation,
+    and later reads take only the columns they need."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more, wherever they are kept."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Bucketed:
+    """A table written once, laid out by a key: group-bys on it need no shuffle, however often it is read."""
+
+    def __init__(self, df: DataFrame, key: str = "id"):
+        self.spark = df.sparkSession
+        self.name, self.path = f"gistmeter_{uuid.uuid4().hex}", fresh_path(df.sparkSession, "bucketed")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", self.path).saveAsTable(self.name))
+        self.rows = self.spark.table(self.name)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        removed(self.spark, self.path)
 
 
 def by_pair(pairs: DataFrame, key: str = "id") -> DataFrame:
@@ -32,15 +62,20 @@ def by_pair(pairs: DataFrame, key: str = "id") -> DataFrame:
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, key: str, how: str = "left", spread: str = "id",
-                broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+                broadcast_bytes: int = BROADCAST_BYTES, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Join facts to a dictionary with one row per key.
 
-    A dictionary of at most `broadcast_rows` rows is broadcast.  A larger one is copied
-    `salts` times and each fact row takes the copy its `spread` column hashes to, so a
-    frequent key is met by many tasks instead of one.  The result is the same.
+    A dictionary whose plan promises at most `broadcast_bytes` is left to the optimizer, which broadcasts it
+    by the same measure.  Otherwise a key takes one salt for each `salt_rows` fact rows it has, so a frequent
+    key is met by many tasks and a rare one is copied nowhere.  The result is the same.
     """
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    promised = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if promised <= broadcast_bytes:
         return facts.join(F.broadcast(table), key, how)
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    heavy = facts.groupBy(key).count().filter(F.col("count") > salt_rows)
+    salts = heavy.select(key, F.ceil(F.col("count") / salt_rows).cast("int").alias("_salts"))
+    copies = table.join(salts, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    marked = facts.join(salts, key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    return marked.join(copies, [key, "_salt"], how).drop("_salt")

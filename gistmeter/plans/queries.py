@@ -1,6 +1,5 @@
 """Every operator as a query over the given tables, next to the same query in SQL."""
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from gistmeter.functions import transforms
 from gistmeter.functions.vectors import cosine
 from gistmeter.operators import (composite, distribution, entities, grammar, overlap, perplexity, pseudo_reference,
                                  ratings, readability, relational, similarity, stats, surprisal, tokens)
-from gistmeter.operators.layout import ensure_checkpoint_dir, materialise
+from gistmeter.operators.layout import fresh_path, materialise
 from gistmeter.plans import corpus, scoring, tables
 from gistmeter.plans import oracle as S
 from gistmeter.plans.oracle import r6
@@ -53,7 +52,7 @@ def cols(*plain: str, rounded: tuple[str, ...] = ()) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    return fresh_path(spark, "written")
 
 
 def triple(name: str) -> tuple[str, str, str]:
@@ -168,8 +167,7 @@ def _joined(parts, keep="") -> str:
 
 
 with_vectors("q15_score_all", CONV, _joined(_ALL_PARTS, ", p.text, p.summary"), scoring.score_all)
-with_vectors("q15_score_all_documents", DOC, None,
-             lambda p, v, k: relational.drop_texts(scoring.score_all(p, v, k)))
+with_vectors("q15_score_all_documents", DOC, None, scoring.scores_of)
 
 # --- text functions
 

@@ -1,59 +1,105 @@
 """The scoring job: every metric of every pair in one table."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.operators import (distribution, grammar, overlap, perplexity, pseudo_reference, readability, similarity,
                                  surprisal)
-from gistmeter.operators.layout import materialise
+from gistmeter.operators.layout import Bucketed, fresh_path, materialise, removed
+from gistmeter.operators.relational import quoted
 
 FREE_METRICS = ["embedding_similarity", "flesch_score", "grammar_score", "perplexity", "sdc_unigram", "shannon_score",
                 "supert_score"]
-BASE_METRICS = ["BERT Precision", "BERT Recall", "BERT F1"] + [
-    f"ROUGE-{n} {part}" for n in ("1", "2", "L") for part in ("F1", "Recall", "Precision")]
+BERT_METRICS = ["BERT Precision", "BERT Recall", "BERT F1"]
 SYNONYM_METRICS = [f"ROUGE-SS {part}" for part in ("F1", "Recall", "Precision")]
 
 
-def _left_join(pairs: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """All parts next to the pairs.  Everything is laid out by id, so nothing is shuffled."""
-    for part in parts:
-        pairs = pairs.join(part, "id", "left")
-    return pairs
+def _rouge(n: str) -> list[str]:
+    return [f"ROUGE-{n} {part}" for part in ("F1", "Recall", "Precision")]
+
+
+BASE_METRICS = BERT_METRICS + _rouge("1") + _rouge("2") + _rouge("L")
+
+Part = tuple[list[str], Callable[[], DataFrame]]
+
+
+def _gathered(ids: DataFrame, parts: list[Part]) -> DataFrame:
+    """(id, all metrics of all parts), a row for every id.
+
+    Each part is computed and written on its own, as narrow rows (id, metric, value), so no task holds the
+    sorts and hash maps of more than one metric.  One group-by then makes them columns again; a metric
+    without a value is NULL.
+    """
+    spark, path = ids.sparkSession, fresh_path(ids.sparkSession, "metrics")
+    names = [c for metrics, _ in parts for c in metrics]
+    for k, (metrics, build) in enumerate(parts):
+        cells = F.array(*[F.struct(F.lit(names.index(c)).alias("metric"), F.col(quoted(c)).cast("double").alias("value")) for c in metrics])
+        build().select("id", F.inline(cells)).filter("value is not null").write.parquet(f"{path}/{k}")
+    blank = ids.select("id", F.lit(-1).alias("metric"), F.lit(None).cast("double").alias("value"))
+    rows = spark.read.schema(blank.schema).parquet(*[f"{path}/{k}" for k in range(len(parts))]).unionByName(blank)
+    wide = rows.groupBy("id").agg(*[F.max(F.when(F.col("metric") == k, F.col("value"))).alias(c) for k, c in enumerate(names)])
+    made = materialise(wide, "scores")
+    removed(spark, path)
+    return made
+
+
+def _base_parts(pairs: DataFrame, vectors: DataFrame, token_key, synonyms: DataFrame | None, sides: DataFrame, subsequence: bool) -> list[Part]:
+    parts = [(BERT_METRICS, lambda: similarity.bert_score(pairs, vectors, token_key)),
+             (_rouge("1"), lambda: overlap.rouge_n(pairs, 1, sides=sides)), (_rouge("2"), lambda: overlap.rouge_n(pairs, 2, sides=sides))]
+    if subsequence:
+        parts.append((_rouge("L"), lambda: overlap.rouge_l(pairs, sides=sides)))
+    if synonyms is not None:
+        parts.append((SYNONYM_METRICS, lambda: overlap.rouge_ss(pairs, synonyms)))
+    return parts
+
+
+def _free_parts(pairs: DataFrame, vectors: DataFrame, token_key, dictionary: DataFrame | None, known: DataFrame | None, order: int) -> list[Part]:
+    return [
+        (["embedding_similarity"], lambda: similarity.embedding_similarity(pairs, vectors, token_key)),
+        (["flesch_score"], lambda: readability.flesch_score(pairs, dictionary)),
+        (["grammar_score"], lambda: grammar.grammar_score(pairs, known)),
+        (["perplexity"], lambda: perplexity.perplexity(pairs)),
+        (["sdc_unigram"], lambda: distribution.sdc_unigram(pairs)),
+        (["shannon_score"], lambda: surprisal.shannon_score(pairs, order)),
+        (["supert_score"], lambda: pseudo_reference.supert_score(pairs, vectors, token_key)),
+    ]
+
+
+def scores_of(pairs: DataFrame, vectors: DataFrame, token_key=similarity.own_key, dictionary: DataFrame | None = None,
+              synonyms: DataFrame | None = None, stem: bool = True, subsequence: bool = True, known: DataFrame | None = None,
+              order: int = 2, free: bool = True, base: bool = True) -> DataFrame:
+    """(id, metrics): seven that need no gold summary, and 12 of overlap, three more with synonyms, which are
+    0.0 where they have no value.
+
+    Pairs, and stemmed tokens, are written once, laid out by id; every metric reads them in a stage of its
+    own without moving texts again.  These tables are removed at the end.
+    """
+    texts = Bucketed(pairs.select("id", "text", "summary"))
+    stems = Bucketed(overlap.rouge_tokens_by_side(texts.rows, stem)) if base else None
+    free_parts = _free_parts(texts.rows, vectors, token_key, dictionary, known, order) if free else []
+    base_parts = _base_parts(texts.rows, vectors, token_key, synonyms, stems.rows, subsequence) if base else []
+    wide = _gathered(texts.rows.select("id"), free_parts + base_parts)
+    for table in filter(None, (texts, stems)):
+        table.close()
+    overlaps = [c for metrics, _ in base_parts for c in metrics]
+    return wide.select("id", *[F.coalesce(F.col(quoted(c)), F.lit(0.0)).alias(c) if c in overlaps else quoted(c) for c in wide.columns if c != "id"])
 
 
 def base_scores(pairs: DataFrame, vectors: DataFrame, token_key=similarity.own_key, synonyms: DataFrame | None = None,
                 stem: bool = True, subsequence: bool = True) -> DataFrame:
     """(id, 12 overlap scores, three more with synonyms); 0.0 where a score has no value."""
-    sides = overlap.rouge_tokens_by_side(pairs, stem)
-    parts = [similarity.bert_score(pairs, vectors, token_key),
-             overlap.rouge_n(pairs, 1, sides=sides), overlap.rouge_n(pairs, 2, sides=sides)]
-    if subsequence:
-        parts.append(overlap.rouge_l(pairs, sides=sides).drop("lcs"))
-    if synonyms is not None:
-        parts.append(overlap.rouge_ss(pairs, synonyms))
-    joined = _left_join(pairs.select("id"), parts)
-    return joined.select("id", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in joined.columns if c != "id"])
+    return scores_of(pairs, vectors, token_key, None, synonyms, stem, subsequence, free=False)
 
 
 def free_scores(pairs: DataFrame, vectors: DataFrame, token_key=similarity.own_key,
                 dictionary: DataFrame | None = None, known: DataFrame | None = None, order: int = 2) -> DataFrame:
     """(id, seven metrics that need no gold summary)."""
-    known = materialise(grammar.lexicon(pairs)) if known is None else known
-    parts = [
-        similarity.embedding_similarity(pairs, vectors, token_key),
-        readability.flesch_score(pairs, dictionary).select("id", "flesch_score"),
-        grammar.grammar_score(pairs, known).select("id", "grammar_score"),
-        perplexity.perplexity(pairs),
-        distribution.sdc_unigram(pairs).select("id", "sdc_unigram"),
-        surprisal.shannon_score(pairs, order).select("id", "shannon_score"),
-        pseudo_reference.supert_score(pairs, vectors, token_key),
-    ]
-    return _left_join(pairs.select("id"), parts).select("id", *FREE_METRICS)
+    return scores_of(pairs, vectors, token_key, dictionary, known=known, order=order, base=False)
 
 
 def score_all(pairs: DataFrame, vectors: DataFrame, token_key=similarity.own_key, dictionary: DataFrame | None = None,
               synonyms: DataFrame | None = None, stem: bool = True, subsequence: bool = True) -> DataFrame:
     """Pairs with all their scores, in the order of the study."""
-    free = free_scores(pairs, vectors, token_key, dictionary)
-    base = base_scores(pairs, vectors, token_key, synonyms, stem, subsequence=subsequence)
-    return pairs.join(free, "id", "left").join(base, "id", "left")
+    return pairs.join(scores_of(pairs, vectors, token_key, dictionary, synonyms, stem, subsequence), "id", "left")

@@ -22,7 +22,7 @@ def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         vectors, token_key = corpus.token_vectors(spark, sf_dir)
         rated = ratings.attach_ratings(pairs, corpus.responses(pairs))
         rated = relational.canonical_columns(relational.drop_texts(rated), relational.MODEL_COLUMNS)
-        scores = relational.drop_texts(scoring.score_all(pairs, vectors, token_key))
+        scores = scoring.scores_of(pairs, vectors, token_key)
         human = corpus.human_scores(spark, sf_dir)
         _held[key] = materialise(scores.join(rated, "id", "left").join(human, "id", "left"))
     return _held[key]
