@@ -26,7 +26,6 @@ REPORT = ["composite_score", "human_score", "BERT F1", "ROUGE-1 F1", "ROUGE-2 F1
 HUMAN = "overall_score_human"
 TENTHS = 10
 QUARTERS = 4
-SIGNED_METRICS = 4
 TIE_DIGITS = 9
 
 
@@ -103,55 +102,56 @@ def uniform_weights(subsets: DataFrame, moments: Moments) -> DataFrame:
     return subsets.withColumn("r", F.coalesce(r, F.lit(0.0))).withColumn("fallback", r.isNull())
 
 
-def weight_lattice(spark: SparkSession, k: int, steps: int, signed: bool = False, support: int | None = None) -> DataFrame:
-    """(units, mask): all weightings in whole steps that add up to one, at most `support` of
-    them not zero.  Signed ones reach from -1 to 1."""
-    support = support or k
-    lattice = spark.range(1).select(F.array().cast("array<int>").alias("units"), F.lit(steps).alias("rest"),
-                                    F.lit(0).alias("used"))
-    for i in range(k):
+def weight_lattice(spark: SparkSession, k: int, steps: int, signed: bool = False) -> DataFrame:
+    """(units, mask): all weightings in whole steps that add up to one.  Signed ones reach from -1 to 1.
+
+    The first weights are dealt out before the others are added, so many tasks expand the lattice.
+    """
+    low = -steps if signed else 0
+    lattice = spark.range(low, steps + 1).select(F.array(F.col("id").cast("int")).alias("units"), (F.lit(steps) - F.col("id")).alias("rest"))
+    for i in range(1, k):
         if i == k - 1:
             choices = F.array(F.col("rest"))
-        elif signed:
-            choices = F.sequence(F.lit(-steps), F.lit(steps))
         else:
-            choices = F.sequence(F.lit(0), F.col("rest"))
+            choices = F.sequence(F.lit(low).cast("long"), F.lit(steps).cast("long") if signed else F.col("rest"))
         lattice = lattice.withColumn("u", F.explode(choices)).filter(F.abs("u") <= steps)
-        lattice = lattice.select(F.concat("units", F.array(F.col("u").cast("int"))).alias("units"),
-                                 (F.col("rest") - F.col("u")).cast("int").alias("rest"),
-                                 (F.col("used") + (F.col("u") != 0).cast("int")).alias("used"))
-        lattice = lattice.filter(F.col("used") <= support)
+        lattice = lattice.select(F.concat("units", F.array(F.col("u").cast("int"))).alias("units"), (F.col("rest") - F.col("u")).alias("rest"))
+        if i == 2:
+            lattice = lattice.repartition("units")
     mask = sum((F.when(F.col("units")[i] != 0, 1 << i).otherwise(0) for i in range(k)), F.lit(0).cast("long"))
     return lattice.select("units", mask.alias("mask"))
 
 
 def weight_sweep(moments: Moments, spark: SparkSession, positive: bool = True) -> DataFrame:
-    """(mask, metrics, units, steps, r): the best lattice weighting of every set of metrics.
+    """(mask, metrics, units, weights, steps, r, fallback): the best lattice weighting of every set of metrics.
 
-    Zero weights are allowed, so a set also inherits the best weighting of the sets inside it.
-    Signed weights are swept for sets of up to four metrics.
+    Zero weights are allowed, so a set also inherits the best weighting of the sets inside it.  A set none
+    of whose weightings can be correlated has equal weights, no units, an r of 0.0 and fallback = true.
     """
     k = len(moments.cols)
     steps = TENTHS if positive else QUARTERS
-    lattice = weight_lattice(spark, k, steps, signed=not positive, support=None if positive else SIGNED_METRICS)
+    lattice = weight_lattice(spark, k, steps, signed=not positive)
     ws = [F.col("units")[i] / F.lit(float(steps)) for i in range(k)]
     scored = lattice.withColumn("r", moments.correlation(ws)).filter("r is not null")
     rank = F.struct(F.round("r", TIE_DIGITS).alias("r"), F.col("units"))
     own = scored.groupBy("mask").agg(F.max(rank).alias("best"))
-    sets = F.sequence(F.lit(1).cast("long"), F.lit(2 ** k - 1).cast("long"))
-    wider = own.withColumn("whole", F.explode(sets)).filter(F.col("whole").bitwiseAND(F.col("mask")) == F.col("mask"))
-    if not positive:
-        wider = wider.filter(F.bit_count("whole") <= SIGNED_METRICS)
-    best = wider.groupBy("whole").agg(F.max("best").alias("best"))
-    return best.select(F.col("whole").alias("mask"), _names(F.col("whole"), moments.cols).alias("metrics"),
-                       F.col("best.units").alias("units"), F.lit(steps).alias("steps"), F.col("best.r").alias("r"))
+    sets = metric_subsets(spark, moments.cols)
+    inside = own.select(F.col("mask").alias("part"), "best")
+    # both sides have a row for each set of metrics at most
+    best = (sets.join(inside, F.col("mask").bitwiseAND(F.col("part")) == F.col("part"), "left")
+            .groupBy("mask", "metrics").agg(F.max("best").alias("best")))
+    equal = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, 1.0).otherwise(0.0) / F.bit_count("mask") for i in range(k)])
+    weights = F.coalesce(F.transform("best.units", lambda u: u / F.lit(float(steps))), equal)
+    return best.select("mask", "metrics", F.col("best.units").alias("units"), weights.alias("weights"), F.lit(steps).alias("steps"),
+                       F.coalesce("best.r", F.lit(0.0)).alias("r"), F.col("best").isNull().alias("fallback"))
 
 
 def least_squares(moments: Moments, spark: SparkSession) -> DataFrame:
     """(mask, metrics, weights, r, reachable): the weighting of highest r for every set.
 
     That direction is the least-squares fit.  Weights are scaled to absolute sum one;
-    `reachable` is false where they add up to zero or less, which a sum of one rules out.
+    `reachable` is false where, scaled to a sum of one, some weight would lie outside [-1, 1], or the
+    sum is zero or less.
     """
     cov, k = moments.cov, len(moments.cols)
 
@@ -168,7 +168,7 @@ def least_squares(moments: Moments, spark: SparkSession) -> DataFrame:
                     r = float(w @ cov[:k, k] / np.sqrt(w @ cov[:k, :k] @ w * cov[k, k]))
                 else:
                     w[use], r = 1 / len(use), 0.0
-                out.append((w.tolist(), r, bool(w.sum() > 0)))
+                out.append((w.tolist(), r, bool(w.sum() > 0 and np.abs(w).max() <= w.sum() + 1e-12)))
             yield pd.DataFrame({"mask": batch["mask"], "weights": [o[0] for o in out], "r": [o[1] for o in out],
                                 "reachable": [o[2] for o in out]})
 
@@ -185,7 +185,7 @@ def fit_weights(train: DataFrame, cols: list[str] = METRICS, target: str = HUMAN
     fitted = LinearRegression(solver="normal").fit(vectors).coefficients.toArray()
     size = float(np.abs(fitted).sum())
     weights = fitted / size if size > 0 else np.full(len(cols), 1 / len(cols))
-    reachable = bool(weights.sum() > 0)
+    reachable = bool(weights.sum() > 0 and np.abs(weights).max() <= weights.sum() + 1e-12)
     return train.sparkSession.createDataFrame(
         [(c, float(w), reachable) for c, w in zip(cols, weights)], "metric string, weight double, reachable boolean")
 
@@ -204,6 +204,6 @@ def select_best(found: DataFrame) -> DataFrame:
 
 def composite_report(test: DataFrame, cols: list[str], weights: list[float], report: list[str] = REPORT) -> DataFrame:
     """(metric_a, metric_b, r, n) of the composite with human, model and overlap scores."""
-    merged = join_scores(composite_score(test, cols, weights), test)
-    named = merged.withColumnsRenamed({"score": "composite_score", "cohesion": "cohesion_llm", HUMAN: "human_score"})
+    total = sum((F.lit(float(w)) * F.col(quoted(c)) for c, w in zip(cols, weights)), F.lit(0.0))
+    named = test.withColumn("composite_score", total).withColumnsRenamed({"cohesion": "cohesion_llm", HUMAN: "human_score"})
     return correlation_matrix(named, report)

@@ -472,11 +472,40 @@ query("q73_correlation_matrix", _corr_sql(MEASURES, "measures"))(lambda s, d: st
 # --- weighting
 
 _TABLE_PARTS = ["embed", "flesch", "grammar", "perplexity", "sdc", "shannon", "supert", "bert", "rouge1", "rouge2"]
-S.FRAGMENTS["scores"] = (
+S.FRAGMENTS["raw"] = (
     f"SELECT p.id, {', '.join(composite.METRICS)}, \"BERT F1\", \"ROUGE-1 F1\", \"ROUGE-2 F1\", {_RENAMED}, overall_score_human FROM p "
     + " ".join(f"LEFT JOIN {part} USING (id)" for part in _TABLE_PARTS) + " LEFT JOIN parsed USING (id) LEFT JOIN human USING (id)")
-S.FRAGMENTS["train"] = f"SELECT * FROM scores WHERE NOT ({IS_TEST})"
-S.FRAGMENTS["test"] = f"SELECT * FROM scores WHERE {IS_TEST}"
+
+
+def _normalized_table(name: str, source: str) -> str:
+    """Fragments that normalise the metrics of `source`, as `name`; the exponent is looked for in every column."""
+    out, bounds = [], []
+    for c in composite.METRICS:
+        b = f"nb_{name}_{c}"
+        S.FRAGMENTS[b] = f"SELECT quantile_cont({c}, 0.01) AS lo, quantile_cont({c}, 0.99) AS hi, skewness({c}) AS skew FROM {source}"
+        S.FRAGMENTS[f"nc_{name}_{c}"] = f"SELECT least(greatest({c}, lo), hi) AS x FROM {source}, {b}"
+        top = _lambda_fragments(f"{name}_{c}", "x", f"nc_{name}_{c}")
+        lam, x = f"((SELECT m FROM {top}) / 1000.0::DOUBLE)", f"least(greatest({c}, {b}.lo), {b}.hi)"
+        log = _scaled(f"ln(1 + {x})", f"ln(1 + {b}.lo)", f"ln(1 + {b}.hi)")
+        power = _scaled(_yj(x, lam), _yj(f"{b}.lo", lam), _yj(f"{b}.hi", lam))
+        plain = _scaled(x, f"{b}.lo", f"{b}.hi")
+        out.append(f"CASE WHEN {c} IS NULL THEN NULL WHEN {b}.skew > 0.5 THEN {log} WHEN {b}.skew < -0.5 THEN {power} ELSE {plain} END AS {c}")
+        bounds.append(b)
+    S.FRAGMENTS[name] = f"SELECT * REPLACE ({', '.join(out)}) FROM {source}, " + ", ".join(
+        f"(SELECT lo AS {b}_lo, hi AS {b}_hi, skew AS {b}_skew FROM {b})" for b in bounds)
+    for b in bounds:
+        S.FRAGMENTS[name] = S.FRAGMENTS[name].replace(f"{b}.", f"{b}_")
+    S.FRAGMENTS[name] = S.FRAGMENTS[name].replace("SELECT * REPLACE", "SELECT " + f"{source}.* REPLACE")
+    return name
+
+
+_normalized_table("scores", "raw")
+S.FRAGMENTS["even"], S.FRAGMENTS["odd"] = "SELECT * FROM raw WHERE id % 2 = 0", "SELECT * FROM raw WHERE id % 2 = 1"
+_normalized_table("even_scores", "even")
+_normalized_table("odd_scores", "odd")
+S.FRAGMENTS["rated"] = "SELECT * FROM even_scores UNION ALL SELECT * FROM odd_scores"
+S.FRAGMENTS["train"] = f"SELECT * FROM rated WHERE NOT ({IS_TEST})"
+S.FRAGMENTS["test"] = f"SELECT * FROM rated WHERE {IS_TEST}"
 _NAMES = composite.METRICS + [composite.HUMAN]
 for _half in ("train", "test"):
     S.FRAGMENTS[f"whole_{_half}"] = f"SELECT * FROM {_half} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _NAMES)
@@ -531,31 +560,31 @@ def _sweep_fragments(steps: int, signed: bool) -> dict[str, str]:
     low = -steps if signed else 0
     out = {"lat0": f"SELECT [unnest(range({low}, {steps + 1}))] AS u"}
     for i in range(1, 6):
-        keep = "" if not signed else " WHERE len(list_filter(u, lambda x: x <> 0)) <= 4"
         bound = "" if signed else f" WHERE list_sum(u) <= {steps}"
-        out[f"lat{i}"] = f"SELECT u FROM (SELECT list_append(u, unnest(range({low}, {steps + 1}))) AS u FROM lat{i - 1}){keep or bound}"
-    cap = "abs(w) <= " + str(steps) + (" AND len(list_filter(u, lambda x: x <> 0)) + (w <> 0)::INT <= 4" if signed else " AND w >= 0")
+        out[f"lat{i}"] = f"SELECT u FROM (SELECT list_append(u, unnest(range({low}, {steps + 1}))) AS u FROM lat{i - 1}){bound}"
+    cap = f"abs(w) <= {steps}" + ("" if signed else " AND w >= 0")
     mask = " + ".join(f"(u[{i + 1}] <> 0)::INT * {1 << i}" for i in range(7))
     out["lat"] = (f"SELECT u, ({mask})::BIGINT AS mask FROM (SELECT list_append(u, w) AS u FROM "
                   f"(SELECT u, {steps} - list_sum(u)::BIGINT AS w FROM lat5) WHERE {cap})")
     r = _r_sql([f"u[{i + 1}] / {steps}.0::DOUBLE" for i in range(7)], "mom_train")
-    out["rated"] = f"SELECT u, mask, round({r}, {composite.TIE_DIGITS}) AS r FROM lat, mom_train WHERE ({r}) IS NOT NULL"
-    out["own"] = "SELECT mask, r, u FROM rated QUALIFY row_number() OVER (PARTITION BY mask ORDER BY r DESC, u DESC) = 1"
-    size = " AND bit_count(w.m) <= 4" if signed else ""
-    out["swept"] = (f"SELECT w.m AS mask, r, u FROM (SELECT unnest(range(1, 128)) AS m) w JOIN own ON w.m & own.mask = own.mask{size} "
-                    "QUALIFY row_number() OVER (PARTITION BY w.m ORDER BY r DESC, u DESC) = 1")
+    out["tried"] = f"SELECT u, mask, round({r}, {composite.TIE_DIGITS}) AS r FROM lat, mom_train WHERE ({r}) IS NOT NULL"
+    out["own"] = "SELECT mask, r, u FROM tried QUALIFY row_number() OVER (PARTITION BY mask ORDER BY r DESC, u DESC) = 1"
+    out["swept"] = ("SELECT w.m AS mask, coalesce(r, 0) AS r, u, r IS NULL AS fallback FROM (SELECT unnest(range(1, 128)) AS m) w "
+                    "LEFT JOIN own ON w.m & own.mask = own.mask QUALIFY row_number() OVER (PARTITION BY w.m ORDER BY r DESC NULLS LAST, u DESC) = 1")
     return out
 
 
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("units", F.coalesce(F.concat_ws(",", "units"), F.lit(""))).drop("steps", "weights")
+
+
 def _sweep(positive: bool):
-    def run(spark, sf_dir):
-        moments = composite.Moments(tables.split_scores(spark, sf_dir)[0])
-        return composite.weight_sweep(moments, spark, positive).withColumn("units", F.concat_ws(",", "units")).drop("steps")
-    return run
+    return lambda spark, sf_dir: _shown(composite.weight_sweep(composite.Moments(tables.split_scores(spark, sf_dir)[0]), spark, positive))
 
 
+_SHOWN = "coalesce(array_to_string(u, ','), '') AS units, fallback"
 for _name, _steps, _signed in (("q79_weight_sweep", 10, False), ("q79_weight_sweep_signed", 4, True)):
-    query(_name, f"SELECT mask, {_names_sql('mask')} AS metrics, array_to_string(u, ',') AS units, {r6('r', 'r')} FROM swept",
+    query(_name, f"SELECT mask, {_names_sql('mask')} AS metrics, {_SHOWN}, {r6('r', 'r')} FROM swept",
           DOC, **_sweep_fragments(_steps, _signed))(_sweep(not _signed))
 query("q80_fit_weights")(lambda s, d: composite.fit_weights(tables.split_scores(s, d)[0]))
 
@@ -567,18 +596,15 @@ def _(spark, sf_dir):
     return found.withColumn("weights", F.concat_ws(",", F.transform("weights", lambda w: F.round(w, 6).cast("string"))))
 
 
-_TEST_R = _r_sql([f"u[{i + 1}] / 10.0::DOUBLE" for i in range(7)], "mom_test")
+_TEST_R = _r_sql([f"coalesce(u[{i + 1}] / 4.0::DOUBLE, (mask & {1 << i} <> 0)::INT::DOUBLE / bit_count(mask))" for i in range(7)], "mom_test")
 
 
-@query("q81_select_best", f"SELECT mask, {_names_sql('mask')} AS metrics, array_to_string(u, ',') AS units, {r6('r', 'r')}, {r6('t', 'test_r')} "
+@query("q81_select_best", f"SELECT mask, {_names_sql('mask')} AS metrics, {_SHOWN}, {r6('r', 'r')}, {r6('t', 'test_r')} "
        f"FROM (SELECT *, {_TEST_R} AS t FROM swept, mom_test) WHERE t > -1 ORDER BY round(t, {composite.TIE_DIGITS}) DESC, mask LIMIT 1",
-       DOC, **_sweep_fragments(10, False))
+       DOC, **_sweep_fragments(4, True))
 def _(spark, sf_dir):
     train, test = _moments(spark, sf_dir)
-    swept = composite.weight_sweep(train, spark)
-    weights = F.transform("units", lambda u: u / F.col("steps"))
-    best = composite.select_best(composite.with_test_r(swept.withColumn("weights", weights), test))
-    return best.withColumn("units", F.concat_ws(",", "units")).drop("steps", "weights")
+    return _shown(composite.select_best(composite.with_test_r(composite.weight_sweep(train, spark, positive=False), test)))
 
 
 _REPORT = [c for c in composite.REPORT if c != "ROUGE-L F1"]

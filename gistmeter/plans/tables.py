@@ -3,18 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmeter.operators import ratings, relational
+from gistmeter.operators import composite, ratings, relational, stats
 from gistmeter.operators.layout import materialise
 from gistmeter.plans import corpus, scoring
 
 _held: dict[tuple[str, str], DataFrame] = {}
 
 
-def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored document pairs with model ratings and human scores, no texts.
 
-    Scoring is the costly part and many weightings are tried on its result, so the table is
-    checkpointed once per application.
+    Scoring is the costly part and many weightings are tried on its result, so the table is written once
+    per application, as Parquet: a query reads the columns it needs.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _held:
@@ -24,12 +24,25 @@ def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         rated = relational.canonical_columns(relational.drop_texts(rated), relational.MODEL_COLUMNS)
         scores = scoring.scores_of(pairs, vectors, token_key)
         human = corpus.human_scores(spark, sf_dir)
-        _held[key] = materialise(scores.join(rated, "id", "left").join(human, "id", "left"))
+        _held[key] = materialise(scores.join(rated, "id", "left").join(human, "id", "left"), "raw-scores")
     return _held[key]
 
 
+def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores as the study searches them: the metrics clipped, pulled in and scaled to [0, 1]."""
+    scores = raw_scores(spark, sf_dir)
+    return stats.normalize(scores, composite.METRICS)
+
+
+def two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rated tables of the search as one: each source is normalised by itself before the union."""
+    scores = raw_scores(spark, sf_dir)
+    halves = [scores.filter(F.col("id") % 2 == k) for k in (0, 1)]
+    return relational.union_sources(*[stats.normalize(h, composite.METRICS) for h in halves])
+
+
 def split_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return relational.train_test_split(score_table(spark, sf_dir))
+    return relational.train_test_split(two_sources(spark, sf_dir))
 
 
 def human_side(spark: SparkSession, sf_dir: str) -> DataFrame:
