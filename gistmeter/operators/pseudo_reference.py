@@ -17,7 +17,6 @@ from gistmeter.operators.similarity import own_key, vector_dim
 from gistmeter.operators.tokens import SUMMARY, TEXT, sentence_rows
 
 SCALE = 1000
-ROUNDS = 3
 STEP = 4096
 
 
@@ -46,18 +45,21 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return best
 
 
-def _clusters(k: int, points: np.ndarray, rounds: int):
-    """Rounds of assignment and floored means; yields (cluster, index of the nearest member)."""
+def _clusters(k: int, points: np.ndarray):
+    """Rounds of assignment and floored means until no centre moves, or centres come back that were there
+    before; yields (cluster, index of the nearest member)."""
     ids = np.arange(k)
     centres = points[ids * len(points) // k]
-    for _ in range(rounds):
+    seen = set()
+    while (state := ids.tobytes() + centres.tobytes()) not in seen:
+        seen.add(state)
         label = _nearest(points, centres[:k])
         size = np.bincount(label, minlength=len(ids))
-        total = np.zeros((len(ids), points.shape[1]), dtype="int64")
-        np.add.at(total, label, points)
         keep = size > 0
         remap = np.cumsum(keep) - 1
-        centres, ids, label = total[keep] // size[keep][:, None], ids[keep], remap[label]
+        order = np.argsort(label, kind="stable")
+        total = np.add.reduceat(points[order], (np.cumsum(size) - size)[keep], axis=0)
+        centres, ids, label = total // size[keep][:, None], ids[keep], remap[label]
         k = len(ids)
     far = ((points - centres[label]) ** 2).sum(axis=1)
     for j, cluster in enumerate(ids):
@@ -73,14 +75,14 @@ def _split_sides(rows: pd.DataFrame):
     return own.sent_pos.to_numpy(), stacked[0], other.sent_pos.to_numpy(), stacked[1]
 
 
-def pseudo_references(pairs: DataFrame, vectors: DataFrame, token_key=own_key, rounds: int = ROUNDS) -> DataFrame:
+def pseudo_references(pairs: DataFrame, vectors: DataFrame, token_key=own_key) -> DataFrame:
     """(id, cluster, sent_pos): one sentence of the text per non-empty cluster."""
     sents = sentence_vectors(pairs, vectors, token_key)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         where, points, others, _ = _split_sides(rows)
         k = min(len(others), len(where))
-        found = list(_clusters(k, points, rounds)) if k else []
+        found = list(_clusters(k, points)) if k else []
         return pd.DataFrame({"id": [rows.id.iloc[0]] * len(found), "cluster": [c for c, _ in found],
                              "sent_pos": [int(where[i]) for _, i in found]})
 
@@ -93,7 +95,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros(m.shape), where=norm > 0)
 
 
-def supert_score(pairs: DataFrame, vectors: DataFrame, token_key=own_key, rounds: int = ROUNDS) -> DataFrame:
+def supert_score(pairs: DataFrame, vectors: DataFrame, token_key=own_key) -> DataFrame:
     """(id, supert_score): mean over summary sentences of the best cosine to a pseudo-reference.
     0 where one side has no sentence."""
     sents = sentence_vectors(pairs, vectors, token_key)
@@ -103,7 +105,7 @@ def supert_score(pairs: DataFrame, vectors: DataFrame, token_key=own_key, rounds
         k = min(len(others), len(where))
         if not k:
             return pd.DataFrame({"id": [rows.id.iloc[0]], "best": [0.0]})
-        refs = points[[i for _, i in _clusters(k, points, rounds)]]
+        refs = points[[i for _, i in _clusters(k, points)]]
         return pd.DataFrame({"id": rows.id.iloc[0], "best": (_unit(asked) @ _unit(refs).T).max(axis=1)})
 
     key = sents.schema["id"].dataType.simpleString()

@@ -26,7 +26,7 @@ USER_MESSAGE = [
     "\n\nExtract the following subjective measures as a JSON object with keys 'information_similarity', "
     "'grammatical_correctness', 'cohesion', 'conciseness', and 'overall_score' (scale of 0-1).",
 ]
-ONE_FLAT_OBJECT = r"(?s)^\{[^{}]*\}$"
+OBJECT = r"(?s)^\{.*\}$"
 
 RATING_SCHEMA = T.StructType([T.StructField(k, T.DoubleType()) for k in RATING_KEYS])
 
@@ -49,19 +49,20 @@ def _reason() -> Column:
     inside, present = F.lit(True), F.lit(True)
     for f in fields:
         inside, present = inside & f.between(0, 1), present & f.isNotNull()
-    return (F.when(F.col("_flat").isNull() | ~F.col("_flat") | F.col("_bad"), "malformed")
+    return (F.when(F.col("_whole").isNull() | ~F.col("_whole") | F.col("_bad"), "malformed")
             .when(~present, "missing key")
             .when(~inside, "out of range")
             .otherwise("valid"))
 
 
 def parse_ratings(responses: DataFrame) -> DataFrame:
-    """(id, five scores, reason): scores are NULL unless the reply is one flat JSON object with
-    all five keys numeric and inside [0, 1]."""
+    """(id, five scores, reason): scores are NULL unless the reply is one JSON object with
+    all five keys numeric and inside [0, 1]; it may hold more than these."""
     raw = F.regexp_replace("raw", r"^\s+|\s+$", "")
+    alone = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))  # as a list of one, so nothing may follow
     schema = T.StructType(RATING_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
     parsed = responses.select(
-        "id", raw.rlike(ONE_FLAT_OBJECT).alias("_flat"),
+        "id", (raw.rlike(OBJECT) & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "string").isNull()).alias("_whole"),
         F.from_json(raw, schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("_r"))
     # a wrong type inside a well-formed object counts as a missing number, not as broken text
     broken = F.col("_r").isNull() | F.get_json_object(F.col("_r._corrupt_record"), "$").isNull() & F.col(

@@ -17,6 +17,7 @@ SKEWED = 0.5
 DIRECT_ROWS = 50_000
 ACCURACY = 10_000
 EXPONENT_COLUMNS = 4
+EXPONENT_LIMIT = 100_000  # thousandths; beyond it powers overflow
 # Passes over the exponent, in thousandths: half width and step of each.
 EXPONENT_PASSES = [(4000, 400), (400, 40), (40, 4)]
 
@@ -126,11 +127,13 @@ def _narrow(values: DataFrame, wanted: dict, accuracy: int, found: dict) -> dict
         low, high = fences[j]
         below, inside = sizes[2 * j], sizes[2 * j + 1]
         before = wanted[key]
-        if key[1] >= below + inside and before[1] is not None and below == before[2]:
-            low, high = math.nextafter(high, math.inf), before[1]
-            below, inside = below + inside, before[3] - inside
-        if not below <= key[1] < below + inside:
-            raise ArithmeticError("approximate quantile outside its rank error")
+        if key[1] < below:
+            # the fence missed the rank: it is in what lies below
+            low, high = got[key]["lo"], math.nextafter(low, -math.inf)
+            below, inside = before[2], below - before[2]
+        elif key[1] >= below + inside:
+            low, high = math.nextafter(high, math.inf), got[key]["hi"]
+            below, inside = below + inside, before[2] + before[3] - below - inside
         if low == high:
             found[key] = low
         else:
@@ -179,7 +182,11 @@ def _exponents(df: DataFrame, cols: list[str], bounds: dict | None) -> dict[str,
     rows = df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(cols)])
     rows = rows.select("*", *[F.log1p(F.abs(f"x{i}")).alias(f"u{i}") for i in range(len(cols))])
     centre = dict.fromkeys(cols, 0)
-    for half, step in EXPONENT_PASSES:
+    (half, step), *finer = EXPONENT_PASSES
+    passes = [(half, step)]
+    while passes:
+        half, step = passes.pop()
+        edge = []
         tries = {c: range(centre[c] - half, centre[c] + half + 1, step) for c in cols}
         sums = []
         for i, c in enumerate(cols):
@@ -190,7 +197,14 @@ def _exponents(df: DataFrame, cols: list[str], bounds: dict | None) -> dict[str,
         for i, c in enumerate(cols):
             fits = [(-got[f"n{i}"] / 2 * math.log(got[f"v{i}_{j}"]) + (m / 1000.0 - 1) * got[f"s{i}"], -m)
                     for j, m in enumerate(tries[c]) if got[f"v{i}_{j}"]]
-            centre[c] = -max(fits)[1] if fits else centre[c] - half
+            best = -max(fits)[1] if fits else centre[c] - half
+            if fits and abs(best - centre[c]) == half and abs(best) < EXPONENT_LIMIT:
+                edge.append(c)
+            centre[c] = best
+        if edge:
+            passes.append((half, step))  # the best one may lie further out: look again around it
+        elif finer:
+            passes.append(finer.pop(0))
     return {c: centre[c] / 1000.0 for c in cols}
 
 

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def next_first_sentence(documents: DataFrame, width: int = RANGE) -> DataFrame:
-    """(doc_id, next_sent): first sentence of the next document of the same language.
+    """(doc_id, next_sent): first sentence of the next document of the same language; NULL behind the last one.
 
     A window over a whole language would be one task.  Windows run over short ranges of
     ids instead; the last document of a range looks at the head of the next range.
@@ -44,19 +44,19 @@ def next_first_sentence(documents: DataFrame, width: int = RANGE) -> DataFrame:
     across = first.select("lang", "range", F.lead(F.struct("sent")).over(
         Window.partitionBy("lang").orderBy("range")).alias("beyond"))
     return (own.join(across, ["lang", "range"], "left")
-            .withColumn("next", F.coalesce("within", "beyond")).filter("next is not null")
+            .withColumn("next", F.coalesce("within", "beyond"))
             .select("doc_id", F.col("next.sent").alias("next_sent")))
 
 
 def pairs_from_documents(documents: DataFrame, width: int = RANGE) -> DataFrame:
-    """Each document with its own first two sentences and the first of the next document.
+    """Each document with its own first two sentences and the first of the next document, if there is one.
     The texts are moved once, by document, and stay where they are."""
     placed = by_pair(documents.select("doc_id", "text"), "doc_id")
     # a merge join keeps that layout at every size
     joined = placed.join(next_first_sentence(documents, width).hint("merge"), "doc_id")
     lead_in = F.slice(text.sentences(F.col("text"), 3), 1, 2)
     return joined.select(F.col("doc_id").alias("id"), "text",
-                         F.concat_ws(" ", F.concat(lead_in, F.array("next_sent"))).alias("summary"))
+                         F.concat_ws(" ", lead_in, F.col("next_sent")).alias("summary"))
 
 
 def pairs_from_conversations(conversations: DataFrame) -> DataFrame:

@@ -30,11 +30,9 @@ def r6(x: str, name: str) -> str:
 
 FRAGMENTS: dict[str, str] = {}
 FRAGMENTS["pairs_doc"] = f"""
-SELECT id, text, summary FROM (
-  SELECT doc_id AS id, text, lead(doc_id) OVER w AS nxt,
-         array_to_string(list_concat(sents[1:2], [lead(sents[1]) OVER w]), ' ') AS summary
-  FROM (SELECT doc_id, lang, text, {sentences('text')} AS sents FROM documents)
-  WINDOW w AS (PARTITION BY lang ORDER BY doc_id)) WHERE nxt IS NOT NULL"""
+SELECT doc_id AS id, text, array_to_string(list_concat(sents[1:2], [lead(sents[1]) OVER w]), ' ') AS summary
+FROM (SELECT doc_id, lang, text, {sentences('text')} AS sents FROM documents)
+WINDOW w AS (PARTITION BY lang ORDER BY doc_id)"""
 FRAGMENTS["pairs_conv"] = """
 SELECT a.conv_id * 1000 + a.turn AS id, a.text AS text, b.text AS summary
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1
@@ -185,7 +183,8 @@ SELECT id, p AS "BERT Precision", r AS "BERT Recall", coalesce(2 * p * r / nulli
 JOIN
   (SELECT id, sum(m * c) / sum(c) AS r FROM (SELECT id, t, max(cs) AS m, any_value(tc) AS c FROM vmatch GROUP BY id, t) GROUP BY id)
 USING (id)"""
-# --- pseudo-references in whole numbers
+# --- pseudo-references in whole numbers; rounds beyond the last change make no difference
+ROUNDS = 16
 FRAGMENTS["idims"] = "SELECT key, k, floor(v * 1000)::BIGINT AS v FROM dims"
 FRAGMENTS["sv"] = f"""
 SELECT id, side, sp, k, floor(sum(c * v)::DOUBLE / sum(c))::BIGINT AS v
@@ -195,7 +194,7 @@ SELECT id, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS k, c
 FRAGMENTS["cen0"] = """
 SELECT sv.id, c.i AS cl, sv.k, sv.v FROM (SELECT id, m, k, unnest(range(k)) AS i FROM km) c
 JOIN sv ON sv.id = c.id AND sv.side = 0 AND sv.sp = (c.i * c.m) // c.k"""
-for t in (1, 2, 3):
+for t in range(1, ROUNDS + 1):
     FRAGMENTS[f"asg{t}"] = f"""
 SELECT id, sp, cl, d FROM (SELECT s.id, s.sp, c.cl, sum((s.v - c.v) * (s.v - c.v))::BIGINT AS d
   FROM sv s JOIN cen{t - 1} c ON c.id = s.id AND c.k = s.k AND s.side = 0 GROUP BY s.id, s.sp, c.cl)
@@ -203,10 +202,10 @@ QUALIFY row_number() OVER (PARTITION BY id, sp ORDER BY d, cl) = 1"""
     FRAGMENTS[f"cen{t}"] = f"""
 SELECT a.id, a.cl, s.k, floor(sum(s.v)::DOUBLE / count(*))::BIGINT AS v
 FROM asg{t} a JOIN sv s ON s.id = a.id AND s.sp = a.sp AND s.side = 0 GROUP BY a.id, a.cl, s.k"""
-FRAGMENTS["refs"] = """
+FRAGMENTS["refs"] = f"""
 SELECT id, cl AS cluster, sp AS sent_pos FROM (
-  SELECT a.id, a.cl, a.sp, sum((s.v - c.v) * (s.v - c.v)) AS d FROM asg3 a JOIN sv s ON s.id = a.id AND s.sp = a.sp AND s.side = 0
-  JOIN cen3 c ON c.id = a.id AND c.cl = a.cl AND c.k = s.k GROUP BY a.id, a.cl, a.sp)
+  SELECT a.id, a.cl, a.sp, sum((s.v - c.v) * (s.v - c.v)) AS d FROM asg{ROUNDS} a JOIN sv s ON s.id = a.id AND s.sp = a.sp AND s.side = 0
+  JOIN cen{ROUNDS} c ON c.id = a.id AND c.cl = a.cl AND c.k = s.k GROUP BY a.id, a.cl, a.sp)
 QUALIFY row_number() OVER (PARTITION BY id, cl ORDER BY d, sp) = 1"""
 FRAGMENTS["supert"] = """
 SELECT p.id, coalesce(q.score, 0) AS supert_score FROM p LEFT JOIN (

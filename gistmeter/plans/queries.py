@@ -97,7 +97,7 @@ FROM (SELECT id, '{"information_similarity": ' || printf('%.2f', ((id * 3) % 101
   ', "conciseness": ' || printf('%.2f', ((id * 11) % 101) / 100.0::DOUBLE) AS rest,
   ', "overall_score": ' || printf('%.2f', ((id * 13) % 101) / 100.0::DOUBLE) || '}' AS fin FROM p)"""
 S.FRAGMENTS["flat"] = r"""
-SELECT id, t, regexp_matches(t, '(?s)^\{[^{}]*\}$') AND json_valid(t) AS good
+SELECT id, t, regexp_matches(t, '(?s)^\{.*\}$') AND json_valid(t) AS good
 FROM (SELECT id, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM responses)"""
 _num = ("CASE WHEN good AND json_type(CASE WHEN good THEN t ELSE '{{}}' END, '$.{k}') IN ('DOUBLE', 'UBIGINT', 'BIGINT') "
         "THEN json_extract(CASE WHEN good THEN t ELSE '{{}}' END, '$.{k}')::DOUBLE END")
