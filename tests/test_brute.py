@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gistmeter.functions import porter
 from gistmeter.operators import composite, entities, grammar, overlap, pseudo_reference, ratings, relational, similarity, stats, surprisal
-from gistmeter.operators.layout import lookup_join
-from gistmeter.plans import corpus
+from gistmeter.operators.layout import Bucketed, lookup_join
+from gistmeter.plans import corpus, scoring
 from gistmeter.sources import tables
 
 WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*|[^\s\w]")
@@ -94,11 +94,13 @@ def test_clusters():
         points = rng.integers(-3, 4, size=(rng.integers(1, 12), 2)).astype("int64")
         k = int(rng.integers(1, len(points) + 1))
         centres = {i: tuple(points[i * len(points) // k]) for i in range(k)}
-        for _ in range(3):
+        before = None
+        while before != centres:
+            before = centres
             label = [min(centres, key=lambda c: (sum((p - centres[c]) ** 2), c)) for p in points]
             centres = {c: tuple(points[[x == c for x in label]].sum(axis=0) // label.count(c)) for c in set(label)}
         want = {c: min((i for i, x in enumerate(label) if x == c), key=lambda i: (sum((points[i] - centres[c]) ** 2), i)) for c in centres}
-        assert dict(pseudo_reference._clusters(k, points, 3)) == want
+        assert dict(pseudo_reference._clusters(k, points)) == want
 
 
 def test_stems(spark):
@@ -124,8 +126,10 @@ def test_lookup_join_salted_equals_broadcast(spark):
 def test_next_sentence_over_ranges(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("lang"),
                                   F.concat(F.lit("First "), F.col("id"), F.lit(". Second.")).alias("text")).filter("doc_id not between 20 and 33")
-    whole = docs.withColumn("n", F.lead("text").over(Window.partitionBy("lang").orderBy("doc_id"))).filter("n is not null")
-    want = {r["doc_id"]: r["n"].split(". ")[0] + "." for r in whole.collect()}
+    whole = docs.withColumn("n", F.lead("text").over(Window.partitionBy("lang").orderBy("doc_id")))
+    want = {r["doc_id"]: r["n"] and r["n"].split(". ")[0] + "." for r in whole.collect()}
+    assert sum(v is None for v in want.values()) == 2
+    assert corpus.pairs_from_documents(docs, 4).count() == docs.count()
     assert {r["doc_id"]: r["next_sent"] for r in corpus.next_first_sentence(docs, 4).collect()} == want
 
 
@@ -182,10 +186,12 @@ def test_findings(spark):
 def test_ratings(spark):
     good = '{"information_similarity": 1, "grammatical_correctness": 0.5, "cohesion": 0, "conciseness": 0.1, "overall_score": %s}'
     rows = [("a", " " + good % "0.3" + "\n"), ("b", good % "true"), ("c", good % '"0.3"'), ("d", good % "1.01"), ("e", good % "0.3" + " x"),
-            ("f", "[]"), ("g", "{}"), ("h", None), ("i", (good % "0.3")[:-1]), ("j", good % '{"x": 1}')]
+            ("f", "[]"), ("g", "{}"), ("h", None), ("i", (good % "0.3")[:-1]), ("j", good % '{"x": 1}'),
+            ("k", good % '0.3, "why": {"a": "}"}'), ("l", good % "0.3" + " " + good % "0.3"), ("m", good % "0.3" + "," + good % "0.3")]
     got = {r["id"]: r["reason"] for r in ratings.parse_ratings(spark.createDataFrame(rows, "id string, raw string")).collect()}
     assert got == {"a": "valid", "b": "missing key", "c": "missing key", "d": "out of range", "e": "malformed", "f": "malformed",
-                   "g": "missing key", "h": "malformed", "i": "malformed", "j": "malformed"}
+                   "g": "missing key", "h": "malformed", "i": "malformed", "j": "missing key",
+                   "k": "valid", "l": "malformed", "m": "malformed"}
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -220,12 +226,42 @@ def test_weighting(spark):
     m = composite.Moments(df, names)
     fitted = {r["mask"]: r for r in composite.least_squares(m, spark).collect()}
     swept = {r["mask"]: r for r in composite.weight_sweep(m, spark).collect()}
-    assert 8 not in swept and fitted[8]["r"] == 0
+    assert set(swept) == set(range(1, 16)) and fitted[8]["r"] == 0
+    assert swept[8]["fallback"] and swept[8]["r"] == 0 and swept[8]["weights"] == [0, 0, 0, 1] and swept[8]["units"] is None
     for mask, r in swept.items():
+        if mask == 8:
+            continue
+        assert not r["fallback"]
         assert fitted[mask]["r"] >= r["r"] - 1e-9
         w = np.array(r["units"]) / 10
         assert w.sum() == pytest.approx(1) and r["r"] == pytest.approx(np.corrcoef(x @ w[:3], y)[0, 1])
     ml = [r["weight"] for r in composite.fit_weights(df, names).collect()]
     assert ml == pytest.approx(fitted[15]["weights"], abs=1e-6)
     signed = {r["mask"]: r["r"] for r in composite.weight_sweep(m, spark, positive=False).collect()}
-    assert signed[15] <= fitted[15]["r"] + 1e-9
+    assert signed[15] <= fitted[15]["r"] + 1e-9 and len(signed) == 15
+    assert all(f["reachable"] == (sum(f["weights"]) > 0 and max(map(abs, f["weights"])) <= sum(f["weights"]) + 1e-9) for f in fitted.values())
+
+
+def test_far_exponents_and_missed_fences(spark):
+    rng = np.random.default_rng(8)
+    lam = 9.0
+    x = ((lam * rng.normal(20, 1, size=3000) + 1) ** (1 / lam) - 1)
+    df = spark.createDataFrame([(float(v), float(v) + 1e6) for v in x], "a double, b double")
+    assert abs(stats.exponents(df, ["a"])["a"]) > 4.5
+    got = stats.quantiles(df, ["a", "b"], (0.01, 0.5, 0.99), direct_rows=2, accuracy=3)
+    assert got["a"] == pytest.approx(list(np.quantile(x, [0.01, 0.5, 0.99])))
+
+
+def test_scoring_keeps_stages_small(spark, pairs, vectors):
+    """No task of the scoring job holds the sorts of more than one metric."""
+    scored = scoring.scores_of(pairs, vectors)
+    assert scored.count() == pairs.count()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort ") <= 2 and "Join" not in plan
+
+
+def test_bucketed_table_needs_no_shuffle(spark, pairs):
+    table = Bucketed(pairs)
+    counted = table.rows.groupBy("id").count()
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString() and counted.count() == pairs.count()
+    table.close()
