@@ -261,6 +261,18 @@ with_vectors("q46_supert_score", DOC, f"SELECT {cols('id', rounded=('supert_scor
 # --- entity overlap
 
 _RUN = r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*"
+def _readings(pairs: DataFrame) -> DataFrame:
+    """(word, phones): two readings of every summary word, the second without its first letter."""
+    rows = pairs.select(F.explode(X.ascii_words(F.col("summary"))).alias("word")).distinct()
+    both = rows.select("word", F.explode(F.array("word", F.expr("substr(word, 2)"))).alias("said"))
+    return both.select("word", F.transform(F.split("said", ""), lambda c: F.when(c.rlike("[aeiouyAEIOUY]"), F.concat(c, F.lit("1"))).otherwise(c)).alias("phones"))
+
+
+S.FRAGMENTS["reading"] = r"""
+SELECT lower(word) AS word, len(regexp_extract_all(lower(said), '[aeiouy]')) AS n
+FROM (SELECT word, unnest([word, word[2:]]) AS said FROM aword)"""
+on_pairs("q29_syllable_dictionary", DOC, "SELECT word, min(n) AS min_syllables FROM reading GROUP BY word",
+         lambda p: readability.syllable_dictionary(_readings(p)))
 S.FRAGMENTS["mention"] = rf"""
 SELECT DISTINCT id, side::INTEGER AS side, entity FROM (
   SELECT id, side, trim(unnest(regexp_extract_all(regexp_replace(sent, '^\s*\S+', ''), '{_RUN}'))) AS entity FROM sen) WHERE entity <> ''"""
@@ -506,6 +518,21 @@ _normalized_table("odd_scores", "odd")
 S.FRAGMENTS["rated"] = "SELECT * FROM even_scores UNION ALL SELECT * FROM odd_scores"
 S.FRAGMENTS["train"] = f"SELECT * FROM rated WHERE NOT ({IS_TEST})"
 S.FRAGMENTS["test"] = f"SELECT * FROM rated WHERE {IS_TEST}"
+# the study's own tables: scores, normalised, their histograms and correlations
+query("q71_normalize_scores", f"SELECT id, {', '.join(r6(c, c) for c in composite.METRICS)} FROM scores", DOC)(
+    lambda s, d: tables.score_table(s, d).select("id", *composite.METRICS))
+S.FRAGMENTS["longs"] = " UNION ALL ".join(f"SELECT '{c}' AS metric, round({c}, 6) AS x FROM scores" for c in composite.METRICS)
+S.FRAGMENTS["ends_s"] = ("SELECT metric, CASE WHEN a < b THEN a ELSE a - 0.5 END AS lo, CASE WHEN a < b THEN b ELSE b + 0.5 END AS hi "
+                         "FROM (SELECT metric, min(x) AS a, max(x) AS b FROM longs WHERE x IS NOT NULL GROUP BY metric)")
+S.FRAGMENTS["hcount_s"] = """
+SELECT metric, least(floor((x - lo) / (hi - lo) * 16), 15)::INTEGER AS bin, count(*) AS n FROM longs JOIN ends_s USING (metric)
+WHERE x IS NOT NULL GROUP BY ALL"""
+query("q72_histogram_scores", "SELECT e.metric, e.bin::INTEGER AS bin, coalesce(n, 0) AS n FROM (SELECT *, unnest(range(16)) AS bin FROM ends_s) e "
+      "LEFT JOIN hcount_s h ON h.metric = e.metric AND h.bin = e.bin", DOC)(
+    lambda s, d: stats.histogram(_round6(tables.score_table(s, d)), composite.METRICS, bins=16).select("metric", "bin", "n"))
+query("q73_correlation_scores", _corr_sql(composite.METRICS, "scores"), DOC)(
+    lambda s, d: stats.correlation_matrix(tables.score_table(s, d), composite.METRICS))
+
 _NAMES = composite.METRICS + [composite.HUMAN]
 for _half in ("train", "test"):
     S.FRAGMENTS[f"whole_{_half}"] = f"SELECT * FROM {_half} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _NAMES)
