@@ -1,24 +1,28 @@
 """Near duplicates by bottom-k sketches, inverted lists and exact verification."""
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmeter.llm.columns import SLICE, boundaries, mixed, row_slices, signed, text_column, words
-from gistmeter.llm.shared import text_documents, written
+from gistmeter.llm.columns import SLICE, boundaries, column_values, mixed, row_slices, signed, text_column, words
+from gistmeter.llm.shared import fresh_folder, mapped_array, text_documents, write_arrays, written
 
 SIMILAR = 80  # per cent
 KEPT = 32  # values of a sketch
 # Sets of 80 % similarity share at least ENOUGH of their KEPT values but in about one case of ten million;
 # sets of fewer than FULL elements are compared by all they have.
 ENOUGH, FULL = 13, 17
-COMMON = 3  # values of the rare part that candidates share at least
+COMMON = 2  # values of the rare part that candidates share
 HUBS = 8  # of a cluster in a round
 ROUNDS = 4
+PAIRS_EACH = 20  # pairs for each set that may be left to the last comparison before the rounds are over
+SHARD_IDS = 1_000_000  # ids in a mapped array
 BLOCK = 1000  # members of a cluster that one task compares with its hubs
 
 
@@ -81,30 +85,33 @@ def needed(n: Column) -> Column:
     return F.when(n < FULL, F.ceil(n * SIMILAR / 100)).otherwise(ENOUGH).cast("int")
 
 
-def rare_values(sets: DataFrame) -> DataFrame:
-    """(value, rep, n): inverted lists of retained values, without those no link depends on.
+def rare_pairs(sets: DataFrame) -> DataFrame:
+    """(key, rep, n, head, head_n): inverted lists of pairs of rare retained values, with each list's first set.
 
-    Sketches that share `needed` values share COMMON of the rarest `size - needed + COMMON` of each, whatever
-    the order, so the lists of frequent values are left to texts that have little else.  Values of one set
-    alone link nothing but take their place among the rarest.
+    Sketches that share `needed` values share two of the rarest `size - needed + 2` of each, whatever the
+    order.  So a set is listed under the pairs of these, and lists of frequent values are left to texts that
+    have little else.  Values of one set alone link nothing but take their place among the rarest.  Sets of
+    under four elements are similar to no other set.
     """
-    values = sets.select("rep", "n", F.explode("sketch").alias("value"))
+    values = sets.filter("n > 3").select("rep", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    mine = values.join(shared, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list"))
+    mine = values.join(shared, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list")).join(sets.select("rep", "n"), "rep")
     kept = F.least("n", F.lit(KEPT)).cast("int")
-    alone = kept - F.size("list")
-    room = kept - needed(F.col("n")) + F.least(F.lit(COMMON), needed(F.col("n"))) - alone
-    return (mine.filter(room > 0).select("rep", "n", F.explode(F.slice("list", F.lit(1), room)).alias("v"))
-            .select(F.col("v.value").alias("value"), "rep", "n"))
+    room = kept - needed(F.col("n")) + COMMON - (kept - F.size("list"))
+    rare = mine.filter(room >= COMMON).select("rep", "n", F.transform(F.slice("list", F.lit(1), room), lambda v: v["value"]).alias("v"))
+    pairs = F.flatten(F.transform("v", lambda x, k: F.transform(F.slice("v", k + 2, F.size("v")), lambda y: F.xxhash64(x, y))))
+    listed = rare.select("rep", F.col("n").cast("int").alias("n"), F.explode(pairs).alias("key"))
+    heads = listed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("head_n")).filter("head < last").drop("last")
+    return listed.join(heads, "key")
 
 
 def _near_size(n: str, m: str) -> Column:
     return (F.col(n) * 100 >= F.col(m) * SIMILAR) & (F.col(m) * 100 >= F.col(n) * SIMILAR)
 
 
-def _common(n: str, m: str) -> Column:
-    """Lists that two candidates share at least."""
-    return F.least(F.lit(COMMON), needed(F.col(n)), needed(F.col(m)))
+def _short(sketch: str) -> Column:
+    """The values' upper halves: enough to tell those of two sketches apart, in the same order."""
+    return F.transform(sketch, lambda v: F.shiftrightunsigned(v, 33).cast("int"))
 
 
 def _alike(a: str, b: str, n: str, m: str) -> Column:
@@ -131,7 +138,7 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
         # larger neighbours of a node go to its smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         # a node and its smaller neighbours go to the smallest of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
@@ -148,40 +155,37 @@ def candidate_clusters(sets: DataFrame, lists: DataFrame) -> DataFrame:
     rows as they have members.  Then lists in which several clusters remain give all pairs of different
     clusters, and of similar sizes.
     """
-    sketch = sets.select("rep", "n", "sketch")
+    sketch = sets.select("rep", "n", _short("sketch").alias("sketch"))
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        counted = pairs.groupBy("a", "b", "need").count().filter("count >= need").select("a", "b")
         left = sketch.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = sketch.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        return counted.join(left, "a").join(right, "b").filter(_alike("sa", "sb", "na", "nb")).select("a", "b")
+        return pairs.distinct().join(left, "a").join(right, "b").filter(_alike("sa", "sb", "na", "nb")).select("a", "b")
 
-    heads = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("h"))
-    star = (lists.join(heads, "value").filter("rep <> h.rep")
-            .select(F.col("h.rep").alias("a"), F.col("h.n").alias("na"), F.col("rep").alias("b"), "n").filter(_near_size("na", "n"))
-            .select("a", "b", _common("na", "n").alias("need")))
+    star = lists.filter((F.col("rep") != F.col("head")) & _near_size("n", "head_n")).select(F.col("head").alias("a"), F.col("rep").alias("b"))
     links = written(estimated(star), "star-links")
-    first = written(components(links), "clusters")
-    placed = lists.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("cluster", F.coalesce("component", "rep")).drop("component")
-    mixed_lists = placed.groupBy("value").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low < high").select("value")
-    rest = written(placed.join(mixed_lists, "value"), "mixed-lists")
-    x = rest.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("cluster").alias("ca"))
-    y = rest.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("cluster").alias("cb"))
-    close = (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size("na", "nb")
-    across = x.join(y, close).select("a", "b", _common("na", "nb").alias("need"))
-    all_links = links.union(estimated(across))
+    first = components(links).select(F.col("node").alias("rep"), "component")
+    placed = lists.join(first, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("cluster"))
+    split = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low < high").select("key")
+    rest = written(placed.join(split, "key"), "mixed-lists")
+    x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("cluster").alias("ca"))
+    y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("cluster").alias("cb"))
+    close = (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size("na", "nb")
+    all_links = links.union(estimated(x.join(y, close).select("a", "b")))
     return components(all_links).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep rows whose whole sets are similar.  Columns: a, b, and the sets as sorted 64-bit numbers."""
+    """Whether whole sets are similar, and how much.  Columns: a, b, and the sets as sorted 64-bit numbers."""
     for batch in batches:
-        keep = []
+        similar, share = [], []
         for left, right in zip(batch.column(2), batch.column(3)):
             x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
             both = int((np.searchsorted(y, x, "right") - np.searchsorted(y, x, "left")).sum())
-            keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            union = len(x) + len(y) - both
+            similar.append(100 * both >= SIMILAR * union)
+            share.append(both / union)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.bool_()), pa.array(share, pa.float64())], names=["a", "b", "similar", "share"])
 
 
 def _fingerprints(grams: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
@@ -190,6 +194,35 @@ def _fingerprints(grams: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
     return [mixed(s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums]
 
 
+@lru_cache(maxsize=64)
+def _ids(folder: str, shard: int) -> np.ndarray:
+    return mapped_array(folder, f"ids{shard}", "rep", np.int64)
+
+
+def with_ids(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(rep, text): documents whose id is asked for.  The ids are written as sorted arrays that tasks map, so
+    the other texts are not moved."""
+    folder, shards = fresh_folder(docs.sparkSession, "ids"), max(1, -(-asked.count() // SHARD_IDS))
+
+    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+        write_arrays(folder, f"ids{key[0]}", {"rep": np.unique(rows["rep"].to_numpy())})
+        return pd.DataFrame({"shard": [key[0]]})
+
+    keyed = asked.select("rep", F.pmod("rep", F.lit(shards)).cast("long").alias("shard"))
+    built = {r["shard"] for r in keyed.groupBy("shard").applyInPandas(build, "shard long").collect()}  # a row for each shard
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = column_values(batch, "rep", 0)
+            wanted = np.zeros(len(ids), bool)
+            for k in set((ids % shards).tolist()) & built:
+                known = _ids(folder, k)
+                wanted |= (ids % shards == k) & (known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids)
+            yield batch.filter(pa.array(wanted))
+
+    return docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null").mapInArrow(task, "rep long, text string")
+
+
 def whole_sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """(rep, cluster, n, sketch, set): the whole shingle sets of the asked documents, as sorted numbers."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +235,15 @@ def whole_sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
                 sets = [grams[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary()), own], names=["rep", "set", "rest"]).filter(pa.array(same))
 
-    kept = asked.select("rep", F.struct("cluster", "n", "a", "b", "sketch").alias("rest"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(kept, "rep").select("rep", "text", "rest")
+    kept = asked.select("rep", F.struct("cluster", "n", "a", "b", _short("sketch").alias("sketch")).alias("rest"))
+    texts = with_ids(docs, asked).join(kept, "rep").select("rep", "text", "rest")
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("set", T.BinaryType()), texts.schema["rest"]])
     return texts.mapInArrow(task, schema).select("rep", "set", "rest.*")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """Of rows (a, b, sa, sb) the pairs whose whole sets are similar."""
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(_jaccard, "a long, b long")
+    """(a, b, similar, share) of rows (a, b, sa, sb), by their whole sets."""
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(_jaccard, "a long, b long, similar boolean, share double")
 
 
 def _with_components(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -222,42 +255,49 @@ def verified_links(sets: DataFrame) -> DataFrame:
     """(a, b): links between whole sets that join every two linked sets of a cluster, directly or in steps.
 
     Each round compares the members of a cluster with a few hubs, and later with hubs of the largest
-    component, so groups of near copies join in rows in proportion to their size.  Rounds end when they add
-    nothing.  Then all pairs that are still in different components are compared, but for those within the
-    largest; sizes and sketches are looked at before whole sets.  Members are dealt to blocks by their
+    component, so groups of near copies join in rows in proportion to their size.  Rounds end when few pairs
+    are left.  Then all pairs that are still in different components are compared, but for those within the
+    largest; sizes, distances to hubs and sketches are looked at before whole sets.  Members are dealt to blocks by their
     number and hubs copied to the blocks, so no task holds a whole large cluster.
     """
     counted = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = written(sets.join(counted, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")), "whole-sets")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    links, state, main, before, clusters = None, placed, None, None, placed.select("cluster").distinct().count()
+    state, pool, rest, compared = placed, placed.withColumn("links", F.lit(0)), placed, []
     for turn in range(ROUNDS):
-        pool = state if main is None else state.join(main, ["cluster", "component"])
-        hubs = (pool.groupBy("cluster", F.pmod(F.xxhash64("rep", F.lit(10 + turn)), F.lit(HUBS)).alias("k"))
-                .agg(F.min(F.struct(F.xxhash64("rep", F.lit(20 + turn)).alias("h"), F.col("rep"))).alias("x")).select(F.col("x.rep").alias("rep"), "cluster"))
+        # the members with most links are the best hubs
+        best = F.min(F.struct(-F.col("links"), F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep"))).alias("x")
+        hubs = pool.groupBy("cluster", F.pmod(F.xxhash64("rep", F.lit(10 + turn)), F.lit(HUBS)).alias("hub")).agg(best).select("cluster", "hub", F.col("x.rep").alias("rep"))
         hub_sets = placed.join(hubs, ["rep", "cluster"]).select("cluster", every, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-        rest = state if main is None else state.join(main, ["cluster", "component"], "left_anti")
         members = rest.select("cluster", "block", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-        pairs = members.join(hub_sets, ["cluster", "block"]).filter((F.col("a") != F.col("b")) & _near_size("na", "nb"))
-        found = _verified(pairs)
-        links = written(found if links is None else links.union(found), "links")
+        found = _verified(members.join(hub_sets, ["cluster", "block"]).filter((F.col("a") != F.col("b")) & _near_size("na", "nb")))
+        compared.append(written(found.join(hubs.select(F.col("rep").alias("a"), "hub"), "a"), "compared"))
+        links = reduce(DataFrame.union, compared).filter("similar").select("a", "b")
         state = written(_with_components(placed, links), "state")
-        sizes = state.groupBy("cluster", "component").count()
-        main = written(sizes.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m")).select("cluster", F.col("m.component").alias("component")), "main")
-        left = sizes.count()
-        if left in (before, clusters):
+        sizes = written(state.groupBy("cluster", "component").count(), "sizes")
+        main = sizes.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("members"))
+        left, members = main.agg(F.sum((F.col("members") - F.col("m.count")) * F.col("members")), F.sum("members")).first()
+        main = main.select("cluster", F.col("m.component").alias("component"))
+        if (left or 0) <= PAIRS_EACH * (members or 0):
             break
-        before = left
+        rest = state.join(main, ["cluster", "component"], "left_anti")
+        pool = (state.join(main, ["cluster", "component"], "left_semi")
+                .join(links.groupBy(F.col("b").alias("rep")).agg(F.count(F.lit(1)).alias("links")), "rep", "left").fillna(0, ["links"]))
+    # how far each set is from the hubs of the first round
+    near = compared[0].groupBy(F.col("b").alias("rep")).agg(F.array(*[F.max(F.when(F.col("hub") == k, F.col("share"))) for k in range(HUBS)]).alias("to_hubs"))
+    state = state.drop("set").join(near, "rep", "left")
     outside = state.join(main, ["cluster", "component"], "left_anti").select(
-        "cluster", every, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("component").alias("ca"))
+        "cluster", every, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("component").alias("ca"), F.col("to_hubs").alias("ha"))
     everyone = state.join(main.withColumn("largest", F.lit(True)), ["cluster", "component"], "left").select(
-        "cluster", "block", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("component").alias("cb"), "largest")
+        "cluster", "block", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("component").alias("cb"), "largest", F.col("to_hubs").alias("hb"))
+    # 1 - similarity is a distance: two sets cannot be closer than their distances to a hub differ
+    apart = F.exists(F.zip_with("ha", "hb", lambda p, q: F.coalesce(F.abs(p - q) > 1 - SIMILAR / 100 + 1e-9, F.lit(False))), lambda far: far)
     close = ((outside["cluster"] == everyone["cluster"]) & (outside["block"] == everyone["block"]) & (F.col("ca") != F.col("cb"))
-             & (F.col("largest") | (F.col("a") < F.col("b"))) & _near_size("na", "nb") & _alike("ka", "kb", "na", "nb"))
+             & (F.col("largest") | (F.col("a") < F.col("b"))) & _near_size("na", "nb") & ~F.coalesce(apart, F.lit(False)) & _alike("ka", "kb", "na", "nb"))
     pairs = outside.join(everyone, close).select("a", "b")
     whole = placed.select("rep", "set")
     last = _verified(pairs.join(whole.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(whole.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b"))
-    return written(links.union(last), "links")
+    return written(links.union(last.filter("similar").select("a", "b")), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
@@ -277,7 +317,7 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
     key = ["n", "a", "b"]
     # the rows of one key have the same sketch
     sets = written(rows.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "sets")
-    lists = written(rare_values(sets), "lists")
+    lists = written(rare_pairs(sets), "lists")
     clusters = written(candidate_clusters(sets, lists), "clusters")
     asked = sets.join(clusters, "rep")
     found = components(verified_links(whole_sets(docs, asked, size))).select(F.col("node").alias("rep"), "component")
