@@ -151,8 +151,8 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
 def candidate_clusters(sets: DataFrame, lists: DataFrame) -> DataFrame:
     """(rep, cluster): sets that may be linked, directly or in steps, have one cluster; others have none.
 
-    First each list is linked to its first set alone, which joins large groups of near copies in as many
-    rows as they have members.  Then lists in which several clusters remain give all pairs of different
+    First each set is compared with two heads of its lists alone, which joins large groups of near copies in
+    rows in proportion to their members.  Then lists in which several clusters remain give all pairs of different
     clusters, and of similar sizes.
     """
     sketch = sets.select("rep", "n", _short("sketch").alias("sketch"))
@@ -162,7 +162,10 @@ def candidate_clusters(sets: DataFrame, lists: DataFrame) -> DataFrame:
         right = sketch.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         return pairs.distinct().join(left, "a").join(right, "b").filter(_alike("sa", "sb", "na", "nb")).select("a", "b")
 
-    star = lists.filter((F.col("rep") != F.col("head")) & _near_size("n", "head_n")).select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    # two heads for each set: the smallest, and the one of most lists; near copies have many between them
+    heads = lists.filter((F.col("rep") != F.col("head")) & _near_size("n", "head_n")).groupBy("rep", "head").count()
+    chosen = heads.groupBy("rep").agg(F.min("head").alias("low"), F.max_by("head", F.struct("count", F.bitwise_not("head"))).alias("most"))
+    star = chosen.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("rep").alias("b"))
     links = written(estimated(star), "star-links")
     first = components(links).select(F.col("node").alias("rep"), "component")
     placed = lists.join(first, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("cluster"))
