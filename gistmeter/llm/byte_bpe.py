@@ -15,7 +15,7 @@ from gistmeter.llm.columns import SLICE, row_slices, text_column
 from gistmeter.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, Memo, Splitter
 from gistmeter.llm.shared import text_documents
 
-MEMO = 400_000  # pieces remembered by a worker
+MEMO = 150_000  # pieces remembered by a worker; twice as many pairs of tokens
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
