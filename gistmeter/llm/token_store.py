@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -109,13 +110,44 @@ class PlaneReader:
         return np.concatenate([np.empty(0, "<u4"), *map(self.block, blocks)])[start - start // BLOCK * BLOCK:][:stop - start]
 
 
+class AddedTokens:
+    """The tokenizer's added tokens, whose strings the library takes out of a text before it splits the rest."""
+
+    def __init__(self, tokens: dict):
+        odd = [t.content for t in tokens.values() if t.lstrip or t.rstrip or t.single_word]
+        if odd:
+            raise ValueError(f"added tokens that take blanks or need word bounds are not supported: {odd}")
+        self.of = {t.content.encode(): i for i, t in tokens.items()}
+        # of those that start first, the longest
+        self.pattern = re.compile(b"|".join(map(re.escape, sorted(self.of, key=len, reverse=True))))
+
+    def ids(self, data: np.ndarray, splitter: Splitter, memo: Memo, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `Memo.ids`: the tokens' ids as they are, and each span between them split and encoded on its own."""
+        raw = data.tobytes()
+        if not any(t in raw for t in self.of):
+            return memo.ids(data, splitter, offsets)
+        spans, tokens, after, last = [], [], [], []  # `after`: the span before each token; `last`: the last span of each row
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            for found in self.pattern.finditer(raw, a, b):
+                after.append(len(spans))
+                tokens.append(self.of[found.group()])
+                spans.append((a, found.start()))
+                a = found.end()
+            last.append(len(spans))
+            spans.append((a, b))
+        rest = np.frombuffer(b"".join(raw[a:b] for a, b in spans), np.uint8)
+        ids, ends = memo.ids(rest, splitter, np.concatenate([[0], np.cumsum([b - a for a, b in spans])]))
+        return np.insert(ids, ends[after], tokens), ends[last] + np.searchsorted(after, last)
+
+
 @lru_cache(maxsize=2)
-def _tools(path: str) -> tuple[Splitter, Memo]:
+def _tools(path: str, added: bool) -> tuple[Splitter, Memo, AddedTokens | None]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokens = whole.get_added_tokens_decoder() if added else {}
+    whole.encode_special_tokens = True  # their strings in a piece are ordinary text
 
     def probe(chars: list[str]) -> list[int]:
         split = whole.pre_tokenizer.pre_tokenize_str
@@ -124,13 +156,13 @@ def _tools(path: str) -> tuple[Splitter, Memo]:
     def encode(pieces: list[bytes]) -> list[list[int]]:
         return [e.ids for e in whole.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
-    return Splitter(probe), Memo(encode, MEMO)
+    return Splitter(probe), Memo(encode, MEMO), AddedTokens(tokens) if tokens else None
 
 
 MANIFEST = "part long, file string, n_docs long, n_ids long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
     """Encode every text and write its ids, `end_id` behind them, to files in ascending doc_id order.
 
     Returns the manifest (part, file, n_docs, n_ids, start), a row for each file; start counts the ids of
@@ -139,9 +171,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
 
     Texts move once, into ranges of doc_id; each task streams its range to one file of its own, which gets
     its name when it is whole.  `tokenizer` is a file whose pieces are split by the pattern of `pretokens`.
+    With `added`, strings of its added tokens in a text have the tokens' ids, as the library does unless told
+    otherwise; without, they are spelled out.
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, memo = _tools(tokenizer)
+        splitter, memo, tokens = _tools(tokenizer, added)
         part = TaskContext.get().partitionId()
         store, base = file_system(folder)
         partial, path, writer, out = f"{base}/.{uuid.uuid4().hex}", f"{base}/part-{part:06d}.planes", None, None
@@ -152,7 +186,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(partial)
                     writer = PlaneWriter(out)
-                ids, ends = memo.ids(data[offsets[lo]:offsets[hi]], splitter, offsets[lo:hi + 1] - offsets[lo])
+                some, bounds = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+                ids, ends = tokens.ids(some, splitter, memo, bounds) if tokens else memo.ids(some, splitter, bounds)
                 lengths = np.diff(ends, prepend=0)
                 writer.add(batch.column(0).slice(lo, hi - lo).to_pylist(), np.insert(ids, ends, end_id), lengths + 1)
         if writer is not None:

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from gistmeter.llm import (byte_bpe, chat, columns, decontaminate, exact_dedup, kneser_ney, line_dedup, minhash, quality, sharding,
                            token_store)
+from gistmeter.llm import queries as llm_queries
 from gistmeter.llm.shared import fresh_folder
 
 from .conftest import edge_rows, sentence
@@ -365,6 +366,23 @@ def test_token_files(spark, edge, nothing):
     assert token_store.read_documents(empty, folder).count() == 0
 
 
+def test_token_output_finds_added_tokens(spark, monkeypatch):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd, end = random.Random(41), "<|endoftext|>"
+    cut = ["one" + end + "two", end, end * 3, " " + end + " ", "a  " + end + "  b", "it'" + end + "s", end[:-1], "<" + end + ">", end[:7], end[7:],
+           "<|endoftext" + end + "|>", "grün" + end + "猫", "it's  " * 300_000 + end + "x" + end]
+    mixed = ["".join(rnd.choice([end, t[:9], " ", "'s"]) for _ in range(rnd.randint(1, 8))) for t in awkward_texts(500)]
+    rows = [(k, t) for k, t in enumerate(cut + mixed + awkward_texts(300) + [None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(llm_queries, "table", lambda *_: docs)
+    start, want = 0, []
+    for i, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, llm_queries.op10_token_output(spark, "").collect())) == want
+
+
 def test_planes_give_any_range(tmp_path):
     ids = np.random.default_rng(31).integers(0, 60_000, 200_000).astype(np.uint32)
     with open(tmp_path / "x", "wb") as f:
