@@ -4,7 +4,7 @@ A weighting's correlation depends on the table only through means and covariance
 are taken in one pass; every weighting after that is arithmetic on a handful of numbers.
 """
 
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -63,10 +63,12 @@ class Moments:
     def __init__(self, df: DataFrame, cols: list[str] = METRICS, target: str = HUMAN):
         self.cols, self.target = cols, target
         names = cols + [target]
-        self.cov = np.zeros((len(names), len(names)))
+        self.cov, self.mean = np.zeros((len(names), len(names))), np.zeros(len(names))
         for row in metric_moments(df, cols, target).collect():
             i, j = names.index(row["metric_a"]), names.index(row["metric_b"])
             self.cov[i, j] = self.cov[j, i] = row["cov"] or 0.0
+            self.mean[i] = row["mean_a"] or 0.0
+            self.mean[j] = row["mean_b"] or 0.0
 
     def correlation(self, weights: list[Column]) -> Column:
         """r of a weighting given as columns; NULL where the composite does not vary."""
@@ -177,6 +179,73 @@ def least_squares(moments: Moments, spark: SparkSession) -> DataFrame:
     return fitted.withColumn("metrics", _names(F.col("mask"), moments.cols))
 
 
+def _bounded_optimum(cov: np.ndarray, shared: np.ndarray) -> np.ndarray | None:
+    """The w of highest shared.w / sqrt(w.cov.w) with a sum of one and every weight in [-1, 1]; None if nothing varies.
+
+    Each face of that polytope fixes some weights at -1 or 1.  On the plane through a face the ratio has one
+    maximum, a linear solve; the best of those that lie in their face is the best of all.  Where covariances
+    are singular, the optima reach a smaller face on which the solve is regular.
+    """
+    k, sd = len(shared), np.sqrt(np.diag(cov))
+    best, top = None, -np.inf
+    for n_fixed in range(k + 1):
+        for fixed in combinations(range(k), n_fixed):
+            free = [i for i in range(k) if i not in fixed]
+            for ends in product((1.0, -1.0), repeat=n_fixed):
+                w = np.zeros(k)
+                w[list(fixed)] = ends
+                rest = 1 - sum(ends)
+                if not free and rest or abs(rest) > len(free):
+                    continue
+                if free:
+                    w[free] = rest / len(free)
+                if len(free) > 1:
+                    plane = np.zeros((k, len(free)))  # the first column is a point of the plane, the others its directions
+                    plane[:, 0] = w
+                    plane[free[:-1], range(1, len(free))] = 1
+                    plane[free[-1], 1:] = -1
+                    y = np.linalg.lstsq(plane.T @ cov @ plane, plane.T @ shared, rcond=1e-12)[0]
+                    if y[0] <= 1e-12 * np.abs(y).max():
+                        continue  # the plane's only stationary point is a minimum or infinitely far
+                    w = plane @ (y / y[0])
+                if np.abs(w).max() > 1 + 1e-9:
+                    continue
+                spread = w @ cov @ w
+                if spread > 1e-12 * (np.abs(w) @ sd) ** 2:
+                    ratio = shared @ w / np.sqrt(spread)
+                    if ratio > top + 1e-12 * abs(ratio):
+                        best, top = w, ratio
+    return best
+
+
+def bounded_weights(moments: Moments, spark: SparkSession) -> DataFrame:
+    """(mask, metrics, weights, r, fallback): the best weighting of every set with a sum of one and weights in [-1, 1].
+
+    Weights are then scaled to absolute sum one.  Where `least_squares` is reachable, this is its weighting.
+    A set none of whose weightings can be correlated has equal weights, an r of 0.0 and fallback = true.
+    """
+    still = np.diag(moments.cov) <= 1e-26 * moments.mean ** 2  # a constant column's variance is rounding
+    cov, k = np.where(still[:, None] | still, 0.0, moments.cov), len(moments.cols)
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for mask in batch["mask"]:
+                use = [i for i in range(k) if mask >> i & 1]
+                found = _bounded_optimum(cov[np.ix_(use, use)], cov[use, k]) if cov[k, k] > 0 else None
+                w, r = np.zeros(k), 0.0
+                w[use] = 1 / len(use) if found is None else found / np.abs(found).sum()
+                if found is not None:
+                    r = float(w @ cov[:k, k] / np.sqrt(w @ cov[:k, :k] @ w * cov[k, k]))
+                out.append((w.tolist(), r, found is None))
+            yield pd.DataFrame({"mask": batch["mask"], "weights": [o[0] for o in out], "r": [o[1] for o in out],
+                                "fallback": [o[2] for o in out]})
+
+    sets = metric_subsets(spark, moments.cols)
+    found = sets.select("mask").mapInPandas(solve, "mask long, weights array<double>, r double, fallback boolean")
+    return found.withColumn("metrics", _names(F.col("mask"), moments.cols))
+
+
 def fit_weights(train: DataFrame, cols: list[str] = METRICS, target: str = HUMAN) -> DataFrame:
     """(metric, weight, reachable): least-squares weights of the table itself, absolute sum one."""
     rows = train.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)],

@@ -634,6 +634,13 @@ def _(spark, sf_dir):
     return _shown(composite.select_best(composite.with_test_r(composite.weight_sweep(train, spark, positive=False), test)))
 
 
+@query("q81_select_best_bounded")
+def _(spark, sf_dir):
+    train, test = _moments(spark, sf_dir)
+    best = composite.select_best(composite.with_test_r(composite.bounded_weights(train, spark), test))
+    return best.withColumn("weights", F.concat_ws(",", F.transform("weights", lambda w: F.round(w, 6).cast("string"))))
+
+
 _REPORT = [c for c in composite.REPORT if c != "ROUGE-L F1"]
 S.FRAGMENTS["report"] = f"SELECT *, {_SCORE} AS composite_score, overall_score_human AS human_score FROM test"
 query("q83_composite_report", _corr_sql(_REPORT, "report"), DOC)(

@@ -242,6 +242,43 @@ def test_weighting(spark):
     assert all(f["reachable"] == (sum(f["weights"]) > 0 and max(map(abs, f["weights"])) <= sum(f["weights"]) + 1e-9) for f in fitted.values())
 
 
+def test_bounded_weights_are_the_best(spark):
+    """Optima off the quarter grid, at the bound, where only negative r can be had, and of singular covariances."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4))
+    names = ["a", "b", "c", "d", "still", "twin"]
+    for slopes in ([0.37, 0.11, 0.05, 0.23], [0.4, -0.9, 0.1, -0.3], [-0.5, -0.2, -0.4, -0.6]):
+        y = x @ slopes + rng.normal(size=400)
+        df = spark.createDataFrame([(i, *map(float, r), 0.0, float(r[0]), float(h)) for i, (r, h) in enumerate(zip(x, y))],
+                                   "id long, a double, b double, c double, d double, still double, twin double, overall_score_human double")
+        m = composite.Moments(df, names)
+        found = {r["mask"]: r for r in composite.bounded_weights(m, spark).collect()}
+        fitted = {r["mask"]: r for r in composite.least_squares(m, spark).collect()}
+        swept = {r["mask"]: r for r in composite.weight_sweep(m, spark, positive=False).collect()}
+        assert set(found) == set(range(1, 64)) and [k for k in found if found[k]["fallback"]] == [16]
+        columns = np.column_stack([x, np.zeros(400), x[:, 0]])
+        for mask, f in found.items():
+            w, use = np.array(f["weights"]), [i for i in range(6) if mask >> i & 1]
+            assert not w[[i for i in range(6) if i not in use]].any() and np.abs(w).sum() == pytest.approx(1)
+            assert w.sum() > 0 and np.abs(w).max() <= w.sum() + 1e-8
+            if mask == 16:
+                continue
+            assert f["r"] == pytest.approx(np.corrcoef(columns @ w, y)[0, 1], abs=1e-9)
+            if fitted[mask]["reachable"]:
+                assert f["r"] == pytest.approx(fitted[mask]["r"], abs=1e-9)
+            assert f["r"] >= swept[mask]["r"] - 1e-9
+            tried = rng.uniform(-1, 1, (4000, len(use)))
+            tried[:, -1] = 1 - tried[:, :-1].sum(axis=1)
+            tried = tried[np.abs(tried[:, -1]) <= 1]
+            cov = m.cov[np.ix_(use, use)]
+            spread = np.einsum("ij,jk,ik->i", tried, cov, tried)
+            fine = spread > 1e-9
+            assert (tried[fine] @ m.cov[use, 6] / np.sqrt(spread[fine] * m.cov[6, 6]) <= f["r"] + 1e-9).all()
+        assert any(found[k]["r"] > swept[k]["r"] + 1e-4 for k in found)
+    seven = composite.Moments(df.withColumn("still", F.lit(7.1)), names[3:5])
+    assert [r["fallback"] for r in composite.bounded_weights(seven, spark).orderBy("mask").collect()] == [False, True, False]
+
+
 def test_far_exponents_and_missed_fences(spark):
     rng = np.random.default_rng(8)
     lam = 9.0
