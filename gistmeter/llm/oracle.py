@@ -1,5 +1,7 @@
 """DuckDB twins of the numbered queries that SQL can express."""
 
+from gistmeter.llm import secret_scan
+
 OP1 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
@@ -52,4 +54,57 @@ SELECT s.doc_id, len(g) AS n_shingles, coalesce(m, s.doc_id) AS component_id, co
 FROM s LEFT JOIN (SELECT node, min(reach) AS m FROM r GROUP BY node) c ON c.node = s.doc_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op4_minhash_near_dedup": OP4, "op5_chat_formatting": OP5, "op8_line_dedup": OP8}
+
+
+def _matches(kind: int, pattern: str) -> str:
+    return f"""
+g{kind} AS (SELECT row, i, length(gaps[i]) AS gap, found[i] AS value
+       FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i
+             FROM (SELECT row, string_split_regex(text, {pattern}) AS gaps, regexp_extract_all(text, {pattern}) AS found FROM d))),
+s{kind} AS (SELECT row, {kind} AS kind, value, sum(gap + length(value)) OVER (PARTITION BY row ORDER BY i) AS e FROM g{kind})"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_ASSIGN, _RUN = _quoted(secret_scan.ASSIGN), secret_scan.RUN
+_START, _SIZE = secret_scan.START, len(secret_scan.ALPHABET)
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+{_matches(0, _ASSIGN)},
+{_matches(1, _quoted(secret_scan.ACCESS))},
+{_matches(2, _quoted(secret_scan.HEX))},
+{_matches(3, _quoted(_RUN + "{%d,}" % secret_scan.LONG))},
+base AS (SELECT * FROM s0 WHERE length(regexp_extract(value, {_ASSIGN}, 1)) >= {secret_scan.ASSIGNED_CHARS}
+         UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+known AS (SELECT DISTINCT true AS random, v AS value FROM
+          (SELECT CASE kind WHEN 0 THEN regexp_extract(value, {_ASSIGN}, 1) ELSE value END AS v FROM base)
+          WHERE regexp_full_match(v, '{_RUN}+')),
+words AS (SELECT DISTINCT false AS random, value FROM
+          (SELECT unnest(regexp_extract_all(regexp_replace(text, {_ASSIGN}, ' ', 'g'), '{_RUN}+')) AS value FROM d
+           WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE
+                 < {secret_scan.SAMPLE_TEXTS} / greatest((SELECT count(*) FROM d), 1) * 4294967296.0::DOUBLE)
+          WHERE length(value) BETWEEN {secret_scan.SHORT} AND {secret_scan.LONG - 1}),
+chars AS (SELECT random, '{_START}' || value AS v, unnest(range(1, length(value) + 1)) AS i FROM (FROM known UNION ALL FROM words)),
+counts AS (SELECT v[i] AS a, v[i + 1] AS b, count(*) FILTER (random) AS r, count(*) FILTER (NOT random) AS o FROM chars GROUP BY ALL),
+cells AS (SELECT a, b, coalesce(r, 0) AS r, coalesce(o, 0) AS o
+          FROM (SELECT unnest(string_split('{_START}{secret_scan.ALPHABET}', '')) AS a) x
+          CROSS JOIN (SELECT unnest(string_split('{secret_scan.ALPHABET}', '')) AS b) y LEFT JOIN counts USING (a, b)),
+weights AS (SELECT a || b AS pair, floor(ln((r + 1)::DOUBLE / (sum(r) OVER w + {_SIZE})::DOUBLE
+                   / ((o + 1)::DOUBLE / (sum(o) OVER w + {_SIZE})::DOUBLE)) * 1000)::BIGINT AS weight
+            FROM cells WINDOW w AS (PARTITION BY a)),
+asked AS (SELECT row_number() OVER () AS k, * FROM s3 WHERE NOT regexp_full_match(value, '[0-9]+')),
+judged AS (SELECT k, sum(weight) AS score FROM
+           (SELECT k, ('{_START}' || value)[i:i + 1] AS pair
+            FROM (SELECT k, value, unnest(range(1, length(value) + 1)) AS i FROM asked)) JOIN weights USING (pair) GROUP BY k),
+spans AS (SELECT row, kind, e - length(value) AS s, e FROM base UNION ALL
+          SELECT row, kind, e - length(value), e FROM asked JOIN judged USING (k) WHERE score >= {secret_scan.THRESHOLD}),
+named AS (SELECT *, {secret_scan.KINDS}[kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS name FROM spans)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       count(*) FILTER (kind = 3) AS n_random, sha256(coalesce(string_agg(name, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(name, ',' ORDER BY s, kind, e), '') AS spans
+FROM d LEFT JOIN named USING (row) GROUP BY row, doc_id
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op4_minhash_near_dedup": OP4, "op5_chat_formatting": OP5, "op8_line_dedup": OP8, "op12_secret_scan": OP12}
