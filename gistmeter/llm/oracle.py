@@ -1,6 +1,6 @@
 """DuckDB twins of the numbered queries that SQL can express."""
 
-from gistmeter.llm import secret_scan
+from gistmeter.llm import ranked_search, secret_scan
 
 OP1 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -70,6 +70,13 @@ def _quoted(pattern: str) -> str:
 
 _ASSIGN, _RUN = _quoted(secret_scan.ASSIGN), secret_scan.RUN
 _START, _SIZE = secret_scan.START, len(secret_scan.ALPHABET)
+
+
+def _chance(m: str) -> str:
+    return (f"({m} + {secret_scan.BACKOFF} * ((n{m} + 1)::DOUBLE / (a{m} + {_SIZE})::DOUBLE)) "
+            f"/ (f{m} + {secret_scan.BACKOFF})::DOUBLE")
+
+
 OP12 = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 {_matches(0, _ASSIGN)},
@@ -91,9 +98,9 @@ counts AS (SELECT v[i] AS a, v[i + 1] AS b, count(*) FILTER (random) AS r, count
 cells AS (SELECT a, b, coalesce(r, 0) AS r, coalesce(o, 0) AS o
           FROM (SELECT unnest(string_split('{_START}{secret_scan.ALPHABET}', '')) AS a) x
           CROSS JOIN (SELECT unnest(string_split('{secret_scan.ALPHABET}', '')) AS b) y LEFT JOIN counts USING (a, b)),
-weights AS (SELECT a || b AS pair, floor(ln((r + 1)::DOUBLE / (sum(r) OVER w + {_SIZE})::DOUBLE
-                   / ((o + 1)::DOUBLE / (sum(o) OVER w + {_SIZE})::DOUBLE)) * 1000)::BIGINT AS weight
-            FROM cells WINDOW w AS (PARTITION BY a)),
+sums AS (SELECT *, sum(r) OVER f AS fr, sum(o) OVER f AS fo, sum(r) OVER n AS nr, sum(o) OVER n AS no, sum(r) OVER () AS ar, sum(o) OVER () AS ao
+         FROM cells WINDOW f AS (PARTITION BY a), n AS (PARTITION BY b)),
+weights AS (SELECT a || b AS pair, floor(ln(({_chance("r")}) / ({_chance("o")})) * 1000)::BIGINT AS weight FROM sums),
 asked AS (SELECT row_number() OVER () AS k, * FROM s3 WHERE NOT regexp_full_match(value, '[0-9]+')),
 judged AS (SELECT k, sum(weight) AS score FROM
            (SELECT k, ('{_START}' || value)[i:i + 1] AS pair
@@ -107,4 +114,20 @@ SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1
 FROM d LEFT JOIN named USING (row) GROUP BY row, doc_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op4_minhash_near_dedup": OP4, "op5_chat_formatting": OP5, "op8_line_dedup": OP8, "op12_secret_scan": OP12}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '{ranked_search.TERM}') AS l FROM documents),
+t AS (SELECT row, unnest(l) AS term FROM d),
+f AS (SELECT row, term, count(*) AS tf FROM t GROUP BY row, term),
+s AS (SELECT count(*) FILTER (len(l) > 0) AS docs, sum(len(l))::BIGINT AS total FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term),
+m AS (SELECT row, doc_id, 50 + (50 * len(l)::BIGINT * docs) // total AS m FROM d, s WHERE len(l) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '{ranked_search.TERM}')) AS term FROM benchmark),
+r AS (SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY item_id, row, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+FROM k WHERE rank <= {ranked_search.TOP}
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op4_minhash_near_dedup": OP4, "op5_chat_formatting": OP5, "op8_line_dedup": OP8, "op11_ranked_search": OP11,
+           "op12_secret_scan": OP12}

@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmeter.llm import byte_bpe, chat, decontaminate, exact_dedup, kneser_ney, line_dedup, minhash, quality, secret_scan, sharding, token_store
+from gistmeter.llm import (byte_bpe, chat, decontaminate, exact_dedup, kneser_ney, line_dedup, minhash, quality, ranked_search, secret_scan,
+                           sharding, token_store, whitening)
 from gistmeter.llm.shared import fresh_folder
 
 
@@ -69,9 +70,19 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(manifest, folder)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.secrets(table(spark, sf_dir, "documents")))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality_classifier, op4_minhash_near_dedup, op5_chat_formatting,
-                                   op6_decontamination, op7_lm_scoring, op8_line_dedup, op9_byte_bpe, op10_token_output, op12_secret_scan)}
+                                   op6_decontamination, op7_lm_scoring, op8_line_dedup, op9_byte_bpe, op10_token_output, op11_ranked_search,
+                                   op12_secret_scan, op13_whitening)}

@@ -29,6 +29,7 @@ LONG = 16  # characters of a string that the models judge; shorter ones are too
 SHORT = 4  # strings from here to LONG are samples of ordinary identifiers
 SAMPLE_TEXTS = 20_000  # texts that ordinary identifiers are taken from, as expected by a hash of the id
 THRESHOLD = 10_000  # thousandths of a nat: odds of e^10, some 22,000 to one
+BACKOFF = 4
 KINDS = ["assign", "access", "hex", "random"]
 START = "^"
 
@@ -109,22 +110,30 @@ class Ratio:
 
 
 def train(labelled: DataFrame) -> Ratio:
-    """Count both models over (value, random) and subtract their logarithms, each count one higher.
+    """Count both models over (value, random) and subtract their logarithms.
 
-    Values hold characters of ALPHABET only.  A model without samples is uniform.
+    After a character that a model knows little of, it falls back on how often the next one occurs at all: BACKOFF
+    occurrences of that, each count one higher.  Values hold characters of ALPHABET only.  A model without samples is uniform.
     """
     counts = labelled.select("random", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("random", "pair").count()
-    every = labelled.sparkSession.range(1).select(F.explode(F.split(F.lit(START + ALPHABET), "")).alias("a")).select(
+    grid = labelled.sparkSession.range(1).select(F.explode(F.split(F.lit(START + ALPHABET), "")).alias("a")).select(
         "a", F.explode(F.split(F.lit(ALPHABET), "")).alias("b"))
     both = counts.groupBy("pair").agg(*[F.sum(F.when(F.col("random") == r, F.col("count")).otherwise(0)).alias(n)
                                         for r, n in ((True, "r"), (False, "o"))])
-    cells = every.join(both, F.concat("a", "b") == F.col("pair"), "left").na.fill(0, ["r", "o"])
-    totals = cells.groupBy("a").agg(F.sum("r").alias("all_r"), F.sum("o").alias("all_o"))
+    cells = grid.join(both, F.concat("a", "b") == F.col("pair"), "left").na.fill(0, ["r", "o"])
     size = len(ALPHABET)
-    ratio = (F.col("r") + 1) / (F.col("all_r") + size) / ((F.col("o") + 1) / (F.col("all_o") + size))
+    by_first = cells.groupBy("a").agg(F.sum("r").alias("first_r"), F.sum("o").alias("first_o"))
+    by_next = cells.groupBy("b").agg(F.sum("r").alias("next_r"), F.sum("o").alias("next_o"))
+    every = cells.agg(F.sum("r").alias("all_r"), F.sum("o").alias("all_o")).first()
+
+    def chance(m: str) -> Column:
+        alone = (F.col(f"next_{m}") + 1) / F.lit(float(every[f"all_{m}"] + size))
+        return (F.col(m) + BACKOFF * alone) / (F.col(f"first_{m}") + F.lit(float(BACKOFF)))
+
+    scored = cells.join(by_first, "a").join(by_next, "b").select("a", "b", F.floor(F.log(chance("r") / chance("o")) * 1000).alias("weight"))
     weights = [0] * 128 * 128
     # a row for each pair of characters of the alphabet
-    for row in cells.join(totals, "a").select("a", "b", F.floor(F.log(ratio) * 1000).alias("weight")).collect():
+    for row in scored.collect():
         weights[ord(row["a"]) * 128 + ord(row["b"])] = row["weight"]
     return Ratio(weights)
 
