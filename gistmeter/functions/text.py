@@ -11,6 +11,7 @@ ROUGE_TOKEN = r"[a-z0-9]+"
 SENTENCE_GAP = r"(?<=[.!?])\s+"
 VOWEL_RUN = r"[aeiouy]+"
 CAPITAL_RUN = r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*"
+BLANKS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 FIRST_WORD = r"^\s*\S+"
 
 
@@ -29,14 +30,19 @@ def words(x: Column) -> Column:
     return _all_matches(F.lower(x), WORD)
 
 
+def cased_words(x: Column) -> Column:
+    """Word and punctuation tokens, case kept."""
+    return _all_matches(x, WORD)
+
+
 def ascii_words(x: Column) -> Column:
     """Runs of ASCII letters that touch no other letter, digit or underscore."""
     return F.filter(_all_matches(x, LETTER_RUN), lambda w: w.rlike(ASCII_ONLY))
 
 
 def ws_tokens(x: Column) -> Column:
-    """Tokens between white space, case kept."""
-    return F.filter(F.split(x, r"\s+"), lambda t: t != "")
+    """Tokens between white space of any script, case kept."""
+    return F.filter(F.split(x, BLANKS), lambda t: t != "")
 
 
 def rouge_tokens(x: Column) -> Column:

@@ -8,11 +8,13 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmeter.operators.gram import pair_sums
 from gistmeter.operators.relational import join_scores, quoted
 from gistmeter.operators.stats import correlation_matrix, pearson
 
@@ -47,14 +49,9 @@ def metric_moments(df: DataFrame, cols: list[str] = METRICS, target: str = HUMAN
     names = cols + [target]
     whole = df.select(*[F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
                         for i, c in enumerate(names)]).na.drop()
-    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    wide = whole.agg(F.count("*").alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(names))],
-                     *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in cells])
-    rows = F.array(*[F.struct(
-        F.lit(names[i]).alias("metric_a"), F.lit(names[j]).alias("metric_b"), F.col("n"),
-        F.col(f"m{i}").alias("mean_a"), F.col(f"m{j}").alias("mean_b"), F.col(f"v{i}_{j}").alias("cov"))
-        for i, j in cells])
-    return wide.select(F.inline(rows))
+    labels = F.array(*map(F.lit, names))
+    return pair_sums(whole).select(F.get(labels, F.col("i")).alias("metric_a"), F.get(labels, F.col("j")).alias("metric_b"), "n",
+                                   F.col("mean_i").alias("mean_a"), F.col("mean_j").alias("mean_b"), "cov")
 
 
 class Moments:
@@ -78,6 +75,21 @@ class Moments:
         whole = spread * F.lit(float(self.cov[k, k]))
         return F.when(whole > 0, shared / F.sqrt(F.greatest(whole, F.lit(0.0))))
 
+    def scored_lattice(self, lattice: DataFrame, steps: int) -> DataFrame:
+        """(units, mask, r) of the weightings that can be correlated: two matrix products a batch of the lattice."""
+        k = len(self.cols)
+        cov, shared, own = self.cov[:k, :k], self.cov[:k, k], self.cov[k, k]
+
+        def score(batches):
+            for batch in batches:
+                w = batch.column(0).flatten().to_numpy().reshape(-1, k) / steps
+                spread = ((w @ cov) * w).sum(1) * own
+                some = spread > 0
+                r = (w @ shared)[some] / np.sqrt(spread[some])
+                yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(some)) for c in batch.columns), pa.array(r)], names=["units", "mask", "r"])
+
+        return lattice.select("units", "mask").mapInArrow(score, "units array<int>, mask long, r double")
+
 
 def _names(mask: Column, cols: list[str]) -> Column:
     parts = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(cols)]
@@ -133,8 +145,7 @@ def weight_sweep(moments: Moments, spark: SparkSession, positive: bool = True) -
     k = len(moments.cols)
     steps = TENTHS if positive else QUARTERS
     lattice = weight_lattice(spark, k, steps, signed=not positive)
-    ws = [F.col("units")[i] / F.lit(float(steps)) for i in range(k)]
-    scored = lattice.withColumn("r", moments.correlation(ws)).filter("r is not null")
+    scored = moments.scored_lattice(lattice, steps)
     rank = F.struct(F.round("r", TIE_DIGITS).alias("r"), F.col("units"))
     own = scored.groupBy("mask").agg(F.max(rank).alias("best"))
     sets = metric_subsets(spark, moments.cols)

@@ -4,9 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.functions import text
+from gistmeter.operators.gazetteer import name_mentions
 from gistmeter.operators.layout import lookup_join
 from gistmeter.operators.similarity import bert_score, own_key
 from gistmeter.operators.tokens import SUMMARY, TEXT, side_rows
+from gistmeter.sources.tables import CACHE
+from gistmeter.sources.versions import BUCKETS, VersionedTable
 
 LAMBDA = 0.7
 DAY = 86400
@@ -14,15 +17,13 @@ KEEP_DAYS = 30
 
 
 def entity_mentions(pairs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
-    """(id, side, entity): distinct capitalised runs of each text, only listed ones if a
-    gazetteer (entity) is given."""
+    """(id, side, entity): distinct capitalised runs of each text or, with a gazetteer (entity), the listed names in it."""
+    if gazetteer is not None:
+        return name_mentions(pairs, gazetteer)
     rows = side_rows(pairs, text.capital_runs).select(
         "id", "side", F.explode("toks").alias("mention"))
     found = rows.select("id", "side", text.clean_mention(F.col("mention")).alias("entity"))
-    found = found.filter("entity is not null").distinct()
-    if gazetteer is None:
-        return found
-    return lookup_join(found, gazetteer.select("entity").distinct(), "entity", how="left_semi")
+    return found.filter("entity is not null").distinct()
 
 
 def mentions_with(pairs: DataFrame, tagger) -> DataFrame:
@@ -71,6 +72,28 @@ def cache_expire(cache: DataFrame, now: int, days: int = KEEP_DAYS) -> DataFrame
     return cache.filter(F.col("last_updated") >= F.lit(now - days * DAY))
 
 
+class EntityCache:
+    """The lookups (entity, qid, last_updated) of all runs, kept in versions: a run rewrites the buckets it changes."""
+
+    def __init__(self, spark, folder: str, buckets: int = BUCKETS):
+        self.table = VersionedTable(spark, folder, "entity", CACHE, buckets)
+
+    def lookup(self, requests: DataFrame, version: int | None = None) -> DataFrame:
+        """`cache_lookup` in the buckets that the requests fall into."""
+        return cache_lookup(requests, self.table.read_for(requests, version))
+
+    def upsert(self, fresh: DataFrame) -> int:
+        """Merge lookups into the newest version, by the rule of `cache_upsert`; returns the new version."""
+        touched = self.table.buckets_of(fresh)
+        return self.table.write(cache_upsert(self.table.read(buckets=touched), fresh), touched)
+
+    def expire(self, now: int, days: int = KEEP_DAYS) -> int:
+        """Leave out lookups older than `days`; only buckets that hold such are rewritten."""
+        rows = self.table.read()
+        old = self.table.buckets_of(rows.filter(F.col("last_updated") < F.lit(now - days * DAY)))
+        return self.table.write(cache_expire(self.table.read(buckets=old), now, days), old) if old else self.table.latest()
+
+
 def kg_score(pairs: DataFrame, alias: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """(id, n_text, n_shared, kg_score): share of the text's entities found in the summary."""
     links = link_entities(entity_mentions(pairs) if mentions is None else mentions, alias)

@@ -6,20 +6,21 @@ brings a column together in one task.
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.functions import transforms as X
+from gistmeter.operators.gram import SLICE, column_matrix, pair_sums
 from gistmeter.operators.relational import numeric_columns, quoted
 
 LOW, HIGH = 0.01, 0.99
 SKEWED = 0.5
-DIRECT_ROWS = 50_000
 ACCURACY = 10_000
-EXPONENT_COLUMNS = 4
-EXPONENT_LIMIT = 100_000  # thousandths; beyond it powers overflow
-# Passes over the exponent, in thousandths: half width and step of each.
-EXPONENT_PASSES = [(4000, 400), (400, 40), (40, 4)]
+# Tries of an exponent, in thousandths: half width and step of the first row, and the last step.
+EXPONENT_PASS = (4000, 400)
+EXPONENT_STEP = 4
 
 
 def _value(c: str):
@@ -46,13 +47,12 @@ def skew(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.select(F.inline(F.array(*[f"s{i}" for i in range(len(cols))])))
 
 
-def quantiles(df: DataFrame, cols: list[str], probs=(LOW, HIGH), direct_rows: int = DIRECT_ROWS,
-              accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, cols: list[str], probs=(LOW, HIGH), accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles of every column.
 
-    A small table is aggregated directly.  On a large one, approximate quantiles with a
-    known rank error fence in each wanted rank; the rows below the fence are counted, and
-    only rows inside are looked at in the next pass, until few enough are left.
+    A mergeable sketch with a known rank error fences in each wanted rank; the rows below the fence are counted, and
+    only rows inside are looked at in the next pass, until a fence holds one value.  Each step leaves some four
+    ten-thousandths of the rows, so large tables take few more steps than small ones.
     """
     values = _values(df, cols)
     sizes = values.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(len(cols))]).first()
@@ -65,13 +65,7 @@ def quantiles(df: DataFrame, cols: list[str], probs=(LOW, HIGH), direct_rows: in
             for k in {math.floor(rank), math.ceil(rank)} if sizes[i] else ():
                 wanted[(i, k)] = (None, None, 0, sizes[i])
     while wanted:
-        small = {w: f for w, f in wanted.items() if f[3] <= direct_rows}
-        large = {w: f for w, f in wanted.items() if w not in small}
-        if small:
-            # a whole rank is asked for each time, so nothing is interpolated between two values
-            at = {w: (w[1] - f[2]) / max(f[3] - 1, 1) for w, f in small.items()}
-            found.update(_per_range(values, small, lambda x, ws: F.percentile(x, F.array(*[F.lit(at[w]) for w in ws]))))
-        wanted = _narrow(values, large, accuracy, found) if large else {}
+        wanted = _narrow(values, wanted, accuracy, found)
     out = {}
     for i, c in enumerate(cols):
         out[c] = []
@@ -149,63 +143,86 @@ def quantile_clip(df: DataFrame, cols: list[str] | None = None, low: float = LOW
 
 
 def yeo_johnson_lambda(df: DataFrame, cols: list[str], bounds: dict | None = None) -> DataFrame:
-    """(metric, lambda): exponent of highest likelihood per column, to four thousandths.
-
-    Each pass tries a row of exponents around the last best one in a single aggregation.
-    """
+    """(metric, lambda): exponent of highest likelihood per column, to four thousandths."""
     best = exponents(df, cols, bounds)
     rows = [(c, best[c]) for c in cols]
     return df.sparkSession.createDataFrame(rows, "metric string, lambda double")
 
 
-def exponents(df: DataFrame, cols: list[str], bounds: dict | None = None) -> dict[str, float]:
-    """The best exponent per column.  All tries of a pass are aggregates of one scan, without
-    a row per try; a few columns are handled per scan to keep the aggregation small."""
-    found = {}
-    for start in range(0, len(cols), EXPONENT_COLUMNS):
-        found.update(_exponents(df, cols[start:start + EXPONENT_COLUMNS], bounds))
-    return found
+def _powered(x: np.ndarray, milli: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The power transform of values under each exponent in thousandths, times exp(-scale): no exponent overflows."""
+    lam, u = milli / 1000.0, np.log1p(np.abs(x))[:, None]
+    part = np.where(x[:, None] >= 0, lam, 2 - lam)
+    flat = part == 0
+    bent = (np.exp(u * part - scale) - np.exp(-scale)) / np.where(flat, 1.0, part)
+    return np.where(x[:, None] >= 0, 1.0, -1.0) * np.where(flat, u * np.exp(-scale), bent)
+
 
+def _fits(rows: DataFrame, tries: dict[int, np.ndarray], ends: dict[int, dict]) -> dict[int, np.ndarray]:
+    """The log-likelihood of every exponent tried for every column, from one scan; NaN where nothing varies.
 
-def _powered(i: int, milli: int):
-    """The power transform of column x<i>, from its sign and u<i> = log(1 + |x|)."""
-    x, u, lam = F.col(f"x{i}"), F.col(f"u{i}"), milli / 1000.0
-    up = (F.exp(u * F.lit(lam)) - 1) / F.lit(lam) if milli else u
-    down = (F.exp(u * F.lit(2 - lam)) - 1) / F.lit(2 - lam) if milli != 2000 else u
-    return F.when(x >= 0, up).when(x < 0, -down)
+    Transformed values are scaled by the largest of them and taken from the transform of the column's mean, then
+    added up in the task; a column and try is one row of what tasks pass on.
+    """
+    scale, middle = {}, {}
+    for i, milli in tries.items():
+        lam = milli / 1000.0
+        reach = [np.log1p(e) * p for e, p in ((max(ends[i]["high"], 0.0), lam), (max(-ends[i]["low"], 0.0), 2 - lam))]
+        scale[i] = np.maximum(np.maximum(*reach), 0.0)
+        middle[i] = _powered(np.array([ends[i]["mean"]]), milli, scale[i])[0]
+
+    def task(batches):
+        sums = {i: np.zeros((2, len(m))) for i, m in tries.items()}
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                x = column_matrix(batch.slice(at, SLICE))
+                for i, milli in tries.items():
+                    own = x[:, i][~np.isnan(x[:, i])]
+                    y = _powered(own, milli, scale[i]) - middle[i]
+                    sums[i] += [y.sum(0), (y * y).sum(0)]
+        cells = [(i, t, a, b) for i, (one, two) in sums.items() for t, (a, b) in enumerate(zip(one.tolist(), two.tolist()))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells)], names=["i", "t", "a", "b"])
+
+    out = {i: np.full(len(m), np.nan) for i, m in tries.items()}
+    for r in rows.mapInArrow(task, "i long, t long, a double, b double").groupBy("i", "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
+        i, t, n = r["i"], r["t"], ends[r["i"]]["n"]
+        spread = r["b"] / n - (r["a"] / n) ** 2
+        if spread > 0:
+            # scaled back in logarithms
+            out[i][t] = -n / 2 * (math.log(spread) + 2 * scale[i][t]) + (tries[i][t] / 1000.0 - 1) * ends[i]["logs"]
+    return out
 
 
-def _exponents(df: DataFrame, cols: list[str], bounds: dict | None) -> dict[str, float]:
+def exponents(df: DataFrame, cols: list[str], bounds: dict | None = None) -> dict[str, float]:
+    """The best exponent per column, all columns at once: a row of tries a scan, then a finer row around the best one.
+    Where the best try is the outermost, the next row is twice as wide around it, however far out that leads."""
+    if not cols:
+        return {}
     x = {c: _value(c) for c in cols}
     if bounds:
         x = {c: X.clip(x[c], F.lit(bounds[c][0]), F.lit(bounds[c][1])) for c in cols}
-    rows = df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(cols)])
-    rows = rows.select("*", *[F.log1p(F.abs(f"x{i}")).alias(f"u{i}") for i in range(len(cols))])
-    centre = dict.fromkeys(cols, 0)
-    (half, step), *finer = EXPONENT_PASSES
-    passes = [(half, step)]
-    while passes:
-        half, step = passes.pop()
-        edge = []
-        tries = {c: range(centre[c] - half, centre[c] + half + 1, step) for c in cols}
-        sums = []
-        for i, c in enumerate(cols):
-            sums += [F.count(f"x{i}").alias(f"n{i}"),
-                     F.sum(F.when(F.col(f"x{i}") >= 0, F.col(f"u{i}")).otherwise(-F.col(f"u{i}"))).alias(f"s{i}")]
-            sums += [F.var_pop(_powered(i, m)).alias(f"v{i}_{j}") for j, m in enumerate(tries[c])]
-        got = rows.agg(*sums).first()
-        for i, c in enumerate(cols):
-            fits = [(-got[f"n{i}"] / 2 * math.log(got[f"v{i}_{j}"]) + (m / 1000.0 - 1) * got[f"s{i}"], -m)
-                    for j, m in enumerate(tries[c]) if got[f"v{i}_{j}"]]
-            best = -max(fits)[1] if fits else centre[c] - half
-            if fits and abs(best - centre[c]) == half and abs(best) < EXPONENT_LIMIT:
-                edge.append(c)
-            centre[c] = best
-        if edge:
-            passes.append((half, step))  # the best one may lie further out: look again around it
-        elif finer:
-            passes.append(finer.pop(0))
-    return {c: centre[c] / 1000.0 for c in cols}
+    rows = df.select(*[x[c].alias(f"c{i}") for i, c in enumerate(cols)])
+    got = rows.agg(*[f.alias(f"{k}{i}") for i in range(len(cols)) for k, f in (
+        ("n", F.count(f"c{i}")), ("low", F.min(f"c{i}")), ("high", F.max(f"c{i}")), ("mean", F.avg(f"c{i}")),
+        ("logs", F.sum(X.signed_log1p(F.col(f"c{i}")))))]).first()
+    ends = {i: {k: got[f"{k}{i}"] for k in ("n", "low", "high", "mean", "logs")} for i in range(len(cols))}
+    half, step = EXPONENT_PASS
+    state = {i: (0, half, step) for i in range(len(cols)) if ends[i]["n"]}
+    best = {i: -half for i in range(len(cols))}
+    while state:
+        tries = {i: np.arange(c - h, c + h + 1, s) for i, (c, h, s) in state.items()}
+        left = {}
+        for i, fits in _fits(rows, tries, ends).items():
+            centre, half, step = state[i]
+            if np.isnan(fits).all():
+                continue
+            best[i] = int(tries[i][np.nanargmax(fits)])
+            if abs(best[i] - centre) == half:
+                left[i] = best[i], 2 * half, 2 * step
+            elif step > EXPONENT_STEP:
+                left[i] = best[i], step, max(step // 10, EXPONENT_STEP)
+        state = left
+    return {c: best[i] / 1000.0 for i, c in enumerate(cols)}
 
 
 def log1p_scale(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -283,21 +300,14 @@ def pearson(a, b):
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(metric_a, metric_b, r, n) for every ordered pair of columns, in one aggregation."""
+    """(metric_a, metric_b, r, n) for every ordered pair of columns, from one pass of matrix products."""
     cols = cols or numeric_columns(df)
-    cells = []
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            a, b = F.col(f"c{i}"), F.col(f"c{j}")
-            cells.append((i, j, F.struct(pearson(a, b).alias("r"),
-                                         F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias("n")).alias(f"r{i}_{j}")))
-    wide = _values(df, cols).agg(*[c for _, _, c in cells])
-    rows = []
-    for i, j, _ in cells:
-        for a, b in {(i, j), (j, i)}:
-            rows.append(F.struct(F.lit(cols[a]).alias("metric_a"), F.lit(cols[b]).alias("metric_b"),
-                                 F.col(f"r{i}_{j}.r").alias("r"), F.col(f"r{i}_{j}.n").alias("n")))
-    return wide.select(F.inline(F.array(*rows)))
+    names = F.array(*map(F.lit, cols))
+    r = F.when(F.col("moves"), F.try_divide(F.col("cov"), F.sqrt(F.greatest("var_i", F.lit(0.0))) * F.sqrt(F.greatest("var_j", F.lit(0.0)))))
+    halves = pair_sums(_values(df, cols)).select("i", "j", r.alias("r"), "n")
+    both = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    rows = halves.select("r", "n", F.inline(F.array_distinct(both)))
+    return rows.select(F.get(names, F.col("a")).alias("metric_a"), F.get(names, F.col("b")).alias("metric_b"), "r", "n")
 
 
 def correlation_square(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

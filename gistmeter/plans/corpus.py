@@ -9,6 +9,7 @@ from gistmeter.operators.layout import by_pair
 
 RANGE = 4096
 NOW = 1_700_000_000
+PHRASE_SHARE = 100  # one text in so many
 
 # Small inline dictionaries.
 LEXICON = [
@@ -113,6 +114,19 @@ def alias_table(pairs: DataFrame, min_texts: int = 2) -> DataFrame:
     return known.select("entity", F.inline(readings))
 
 
+def name_list(pairs: DataFrame) -> DataFrame:
+    """(entity): the names of the alias table, and lower-case runs of two and three tokens that a share of all
+    texts hold.  Many of them overlap."""
+    toks = pairs.select("id", text.words(F.col("text")).alias("toks"))
+    def joined(n: int):
+        return F.transform(text.gram_structs(F.col("toks"), n), lambda g: F.concat_ws(" ", *[g[f"w{i + 1}"] for i in range(n)]))
+
+    runs = F.concat(joined(2), joined(3))
+    common = toks.select(F.explode(F.array_distinct(runs)).alias("entity")).groupBy("entity").count()
+    least = pairs.count() / PHRASE_SHARE
+    return alias_table(pairs).select("entity").union(common.filter(F.col("count") >= least).select("entity")).distinct()
+
+
 def cache_table(alias: DataFrame) -> DataFrame:
     """(entity, qid, last_updated): names looked up within the last 64 days, some without a hit."""
     h = F.conv(F.substring(F.md5(F.col("entity").cast("binary")), 1, 4), 16, 10).cast("long")

@@ -1,5 +1,6 @@
 """Every operator as a query over the given tables, next to the same query in SQL."""
 
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,8 +10,8 @@ from gistmeter.functions import transforms
 from gistmeter.functions.vectors import cosine
 from gistmeter.operators import (composite, distribution, entities, grammar, overlap, perplexity, pseudo_reference,
                                  ratings, readability, relational, similarity, stats, surprisal, tokens)
-from gistmeter.operators.layout import fresh_path, materialise
-from gistmeter.plans import corpus, scoring, tables
+from gistmeter.operators.layout import by_pair, fresh_path, materialise
+from gistmeter.plans import corpus, incremental, scoring, tables
 from gistmeter.plans import oracle as S
 from gistmeter.plans.oracle import r6
 from gistmeter.sources import tables as sources
@@ -169,15 +170,36 @@ def _joined(parts, keep="") -> str:
 with_vectors("q15_score_all", CONV, _joined(_ALL_PARTS, ", p.text, p.summary"), scoring.score_all)
 with_vectors("q15_score_all_documents", DOC, None, scoring.scores_of)
 
+
+def _light_scores(pairs: DataFrame) -> DataFrame:
+    texts = by_pair(pairs)
+    parts = [perplexity.perplexity(texts), distribution.sdc_unigram(texts).select("id", "sdc_unigram"),
+             readability.flesch_score(texts).select("id", "flesch_score")]
+    return functools.reduce(lambda a, b: a.join(b, "id", "left"), parts, texts.select("id"))
+
+
+@query("q15_score_incremental", _joined(("perplexity", "sdc", "flesch"), ", p.id % 100 = 7 AS rescored"), DOC)
+def _(spark, sf_dir):
+    """Scores of an earlier run, in which a few summaries were others, brought up to date; and which pairs that took."""
+    pairs = corpus.pairs_doc(spark, sf_dir)
+    earlier = pairs.withColumn("summary", F.when(F.col("id") % 100 == 7, F.concat(F.lit("Once "), F.coalesce("summary", F.lit("")))).otherwise(F.col("summary")))
+    table = incremental.ScoreTable(spark, scratch(spark), pairs.schema["id"].dataType, ["perplexity", "sdc_unigram", "flesch_score"],
+                                   _light_scores, version="1")
+    table.update(earlier)
+    changed = materialise(table.missing(pairs).select("id", F.lit(True).alias("rescored")))
+    table.update(pairs)
+    return table.scores(pairs).join(changed, "id", "left").na.fill(False, ["rescored"])
+
+
 # --- text functions
 
 on_pairs("q16_sentences", DOC, "SELECT id, side::INTEGER AS side, sp::INTEGER AS sent_pos, sent FROM sen", tokens.sentence_rows)
 on_pairs("q17_words", DOC, "SELECT id, side::INTEGER AS side, (pos - 1)::INTEGER AS pos, tok FROM tok", tokens.token_rows)
 on_pairs("q18_ascii_words", DOC, "SELECT id, word, count(*) AS n FROM aword GROUP BY ALL",
          lambda p: p.select("id", F.explode(X.ascii_words(F.col("summary"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n")))
-S.FRAGMENTS["wtok"] = r"""
-SELECT id, 0 AS side, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS tok FROM p
-UNION ALL SELECT id, 1, unnest(list_filter(regexp_split_to_array(summary, '\s+'), lambda t: t <> '')) FROM p"""
+S.FRAGMENTS["wtok"] = f"""
+SELECT id, 0 AS side, unnest(list_filter(regexp_split_to_array(text, '{X.BLANKS}'), lambda t: t <> '')) AS tok FROM p
+UNION ALL SELECT id, 1, unnest(list_filter(regexp_split_to_array(summary, '{X.BLANKS}'), lambda t: t <> '')) FROM p"""
 on_pairs("q19_ws_tokens", DOC, "SELECT id, side::INTEGER AS side, tok, count(*) AS n FROM wtok GROUP BY ALL",
          lambda p: tokens.token_rows(p, X.ws_tokens).groupBy("id", "side", "tok").agg(F.count("*").alias("n")))
 on_pairs("q20_rouge_tokens", DOC, "SELECT id, side::INTEGER AS side, (pos - 1)::INTEGER AS pos, raw AS tok FROM raw_rtok",
@@ -297,8 +319,40 @@ def _aliases(p: DataFrame) -> DataFrame:
 
 
 on_pairs("q47_entity_mentions", DOC, "SELECT id, side, entity FROM mention", entities.entity_mentions)
-on_pairs("q47_gazetteer_mentions", DOC, "SELECT id, side, entity FROM mention WHERE entity IN (SELECT entity FROM alias1)",
-         lambda p: entities.entity_mentions(p, _aliases(p)))
+# names in texts: candidates by their first token, the longest at each place, then a reader's walk from the left
+S.FRAGMENTS["ctext"] = f"""
+SELECT id, 0 AS side, regexp_extract_all(text, '{S.WORD}') AS toks FROM p
+UNION ALL SELECT id, 1, regexp_extract_all(summary, '{S.WORD}') FROM p"""
+S.FRAGMENTS["ctok"] = "SELECT id, side, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM ctext"
+S.FRAGMENTS["nkey"] = f"""
+SELECT entity, l, len(l) AS n, array_to_string(l, chr(31)) AS key FROM (SELECT DISTINCT entity, regexp_extract_all(entity, '{S.WORD}') AS l FROM nam)
+WHERE len(l) > 0"""
+S.FRAGMENTS["opened"] = """
+SELECT id, side, pos, n, key FROM ctok JOIN nkey ON l[1] = tok UNION SELECT id, side, pos, n, key FROM ctok JOIN nkey ON l[1] = lower(tok)"""
+S.FRAGMENTS["named"] = """
+SELECT id, side, pos, n, key FROM (SELECT o.*, array_to_string(toks[pos:pos + n - 1], chr(31)) AS run FROM opened o JOIN ctext USING (id, side))
+WHERE key = run OR key = lower(run)"""
+S.FRAGMENTS["nlong"] = "SELECT id, side, pos, max(n) AS n FROM named GROUP BY id, side, pos"
+# the next free start is among the rows that follow: no name here has more than 64 tokens
+S.FRAGMENTS["nnext"] = """
+SELECT id, side, pos, list_filter(ahead, lambda x: x >= pos + n)[1] AS nxt FROM (
+  SELECT *, list(pos) OVER (PARTITION BY id, side ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 64 FOLLOWING) AS ahead FROM nlong)"""
+S.FRAGMENTS["walk"] = """
+SELECT id, side, min(pos) AS pos FROM nlong GROUP BY id, side
+UNION ALL SELECT w.id, w.side, x.nxt FROM walk w JOIN nnext x ON x.id = w.id AND x.side = w.side AND x.pos = w.pos WHERE x.nxt IS NOT NULL"""
+S.FRAGMENTS["met"] = """
+SELECT DISTINCT w.id, w.side, k.entity FROM walk w JOIN nlong l ON l.id = w.id AND l.side = w.side AND l.pos = w.pos
+JOIN named m ON m.id = l.id AND m.side = l.side AND m.pos = l.pos AND m.n = l.n JOIN nkey k ON k.key = m.key"""
+S.FRAGMENTS["phrase"] = f"""
+SELECT g AS entity FROM (
+  SELECT id, unnest(list_concat([{{g: tok || ' ' || a}}], CASE WHEN b IS NOT NULL THEN [{{g: tok || ' ' || a || ' ' || b}}] ELSE [] END)).g AS g
+  FROM (SELECT id, tok, lead(tok) OVER w AS a, lead(tok, 2) OVER w AS b FROM tok WHERE side = 0 WINDOW w AS (PARTITION BY id ORDER BY pos))
+  WHERE a IS NOT NULL)
+GROUP BY g HAVING count(DISTINCT id) * {corpus.PHRASE_SHARE} >= (SELECT count(*) FROM p)"""
+_MET = "SELECT id, side, entity FROM met"
+on_pairs("q47_gazetteer_mentions", DOC, _MET, lambda p: entities.entity_mentions(p, _aliases(p)), nam="SELECT entity FROM alias1")
+on_pairs("q47_gazetteer_phrases", DOC, _MET, lambda p: entities.entity_mentions(p, materialise(corpus.name_list(p))),
+         nam="SELECT entity FROM alias1 UNION SELECT entity FROM phrase")
 on_pairs("q48_link_entities", DOC, "SELECT id, side, qid FROM links",
          lambda p: entities.link_entities(entities.entity_mentions(p), _aliases(p)))
 
@@ -320,6 +374,34 @@ _on_cache("q50_cache_upsert", """SELECT entity, qid, last_updated FROM (
   SELECT *, 0 AS f FROM cached UNION ALL SELECT *, 1 FROM fresh)
   QUALIFY row_number() OVER (PARTITION BY entity ORDER BY last_updated DESC, f DESC) = 1""",
           lambda p, a: entities.cache_upsert(corpus.cache_table(a), corpus.fresh_lookups(a)))
+
+
+def _renewed(alias: DataFrame) -> DataFrame:
+    """A third run: a few names again, now without a hit."""
+    return alias.select("entity").distinct().filter(F.col("entity") < "C").select(
+        "entity", F.lit(None).cast("string").alias("qid"), F.lit(corpus.NOW + entities.DAY).alias("last_updated"))
+
+
+def _cache_versions(p: DataFrame, alias: DataFrame) -> DataFrame:
+    """Every version of a cache that was filled, merged into twice, and cleared of old lookups, read back."""
+    cache = entities.EntityCache(p.sparkSession, scratch(p.sparkSession))
+    for rows in (corpus.cache_table(alias), corpus.fresh_lookups(alias), _renewed(alias)):
+        cache.upsert(rows)
+    cache.expire(corpus.NOW)
+    versions = [cache.table.read(v).withColumn("version", F.lit(v)) for v in range(1, 5)]
+    return functools.reduce(DataFrame.unionByName, versions)
+
+
+def _merged_sql(old: str, new: str) -> str:
+    return (f"SELECT entity, qid, last_updated FROM (SELECT *, 0 AS f FROM {old} UNION ALL SELECT *, 1 FROM {new}) "
+            "QUALIFY row_number() OVER (PARTITION BY entity ORDER BY last_updated DESC, f DESC) = 1")
+
+
+S.FRAGMENTS["renewed"] = (f"SELECT DISTINCT entity, NULL::VARCHAR AS qid, {corpus.NOW + entities.DAY}::BIGINT AS last_updated "
+                          "FROM alias1 WHERE entity < 'C'")
+S.FRAGMENTS["cache2"], S.FRAGMENTS["cache3"] = _merged_sql("cached", "fresh"), _merged_sql("cache2", "renewed")
+_on_cache("q50_cache_versions", f"""SELECT 1 AS version, * FROM cached UNION ALL SELECT 2, * FROM cache2 UNION ALL SELECT 3, * FROM cache3
+  UNION ALL SELECT 4, * FROM cache3 WHERE last_updated >= {corpus.NOW} - 30 * 86400""", _cache_versions)
 _on_cache("q51_cache_stats", "SELECT count(*) AS total, count(qid) AS matches FROM cached",
           lambda p, a: entities.cache_stats(corpus.cache_table(a)))
 _on_cache("q52_cache_expire", f"SELECT entity, qid, last_updated FROM cached WHERE last_updated >= {corpus.NOW} - 30 * 86400",
@@ -403,17 +485,20 @@ S.FRAGMENTS["bound_value"] = "SELECT quantile_cont(value, 0.01) AS lo, quantile_
 S.FRAGMENTS["clip_value"] = "SELECT id, least(greatest(value, lo), hi) AS x, lo, hi FROM evalue, bound_value"
 
 
+EXPONENT_PASSES = [(4000, 400), (400, 40), (40, 4)]  # half width and step of each row of tries, in thousandths
+
+
 def _lambda_fragments(name: str, x: str, source: str) -> str:
     """Three passes over a grid of exponents; returns the fragment that holds the best one."""
     centre = "0"
-    for i, (half, step) in enumerate(stats.EXPONENT_PASSES, 1):
+    for i, (half, step) in enumerate(EXPONENT_PASSES, 1):
         S.FRAGMENTS[f"try{i}_{name}"] = f"""
 SELECT m, -count(*) / 2.0::DOUBLE * ln(nullif(var_pop({_yj('x', '(m / 1000.0::DOUBLE)')}), 0))
   + (m / 1000.0::DOUBLE - 1) * sum(CASE WHEN x >= 0 THEN ln(1 + x) ELSE -ln(1 - x) END) AS fit
 FROM (SELECT {x} AS x, {centre} + g AS m FROM {source}, (SELECT unnest(generate_series({-half}, {half}, {step})) AS g)) WHERE x IS NOT NULL GROUP BY m"""
         S.FRAGMENTS[f"top{i}_{name}"] = f"SELECT m FROM try{i}_{name} ORDER BY fit DESC NULLS LAST, m LIMIT 1"
         centre = f"(SELECT m FROM top{i}_{name})"
-    return f"top{len(stats.EXPONENT_PASSES)}_{name}"
+    return f"top{len(EXPONENT_PASSES)}_{name}"
 
 
 _top_raw = _lambda_fragments("raw", "remainder", "measures")
@@ -613,32 +698,115 @@ _SHOWN = "coalesce(array_to_string(u, ','), '') AS units, fallback"
 for _name, _steps, _signed in (("q79_weight_sweep", 10, False), ("q79_weight_sweep_signed", 4, True)):
     query(_name, f"SELECT mask, {_names_sql('mask')} AS metrics, {_SHOWN}, {r6('r', 'r')} FROM swept",
           DOC, **_sweep_fragments(_steps, _signed))(_sweep(not _signed))
-query("q80_fit_weights")(lambda s, d: composite.fit_weights(tables.split_scores(s, d)[0]))
 
 
-@query("q80_least_squares")
+# --- closed-form weights in SQL: elimination on the covariances, a pivot at a time, for every set and every face at once
+
+S.FRAGMENTS["gram"] = "SELECT [" + ", ".join(
+    "[" + ", ".join(f"v{min(i, j)}_{max(i, j)}" for j in range(7)) + "]" for i in range(7)) + "]::DOUBLE[][] AS cov, [" + ", ".join(
+    f"v{i}_7" for i in range(7)) + "]::DOUBLE[] AS sh, v7_7 AS own FROM mom_train"
+_AXES = "[1, 2, 3, 4, 5, 6, 7]"
+
+
+def _eliminated(name: str, start: str, singular: str = "NULL") -> dict[str, str]:
+    """Fragments `name`0 to `name`7: rows of (m, ...), m a matrix with its right side, solved column by column.  Where a
+    pivot is rounding beside its diagonal entry, its row becomes `singular`; NULL leaves no solution."""
+    out = {f"{name}0": f"SELECT *, list_transform(m, lambda r, i: r[i]) AS diag, NULL::DOUBLE[] AS top FROM ({start})"}
+    for p in range(1, 8):
+        pivot = f"list_transform(m[{p}], lambda x: x / m[{p}][{p}])"
+        rows = f"list_transform(m, lambda r, i: CASE WHEN i = {p} THEN top ELSE list_transform(r, lambda x, j: x - r[{p}] * top[j]) END)"
+        out[f"{name}{p}"] = (
+            f"SELECT * REPLACE (CASE WHEN len(m) < {p} THEN m WHEN top IS NOT NULL THEN {rows} END AS m) FROM (SELECT * REPLACE "
+            f"(CASE WHEN len(m) >= {p} AND m[{p}][{p}] > 1e-12 * diag[{p}] THEN {pivot} WHEN len(m) >= {p} THEN {singular.format(p=p)} END AS top) FROM {name}{p - 1})")
+    return out
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b})"
+
+
+def _times_cov(w: str) -> str:
+    return f"list_transform({_AXES}, lambda axis: {_dot('cov[axis]', w)})"
+
+
+# each set of metrics: the fit scaled to absolute sum one
+_FITTED = {
+    "picked": f"SELECT mask, list_filter({_AXES}, lambda i: mask & (1 << (i - 1)) <> 0) AS used FROM (SELECT unnest(range(1, 128)) AS mask)",
+    **_eliminated("fit", "SELECT mask, used, cov, sh, own, list_transform(used, lambda i: list_append(list_transform(used, lambda j: cov[i][j]), sh[i])) AS m "
+                  "FROM picked, gram", "list_transform(m[{p}], lambda x: 0.0::DOUBLE)"),
+    "fitw": f"SELECT *, list_transform({_AXES}, lambda i: coalesce(m[list_position(used, i)][len(used) + 1], 0)) AS raw FROM fit7",
+    "fitted": f"""SELECT mask, cov, sh, own, CASE WHEN size > 0 THEN list_transform(raw, lambda x: x / size)
+       ELSE list_transform({_AXES}, lambda i: (mask & (1 << (i - 1)) <> 0)::INT::DOUBLE / bit_count(mask)) END AS w
+       FROM (SELECT *, list_sum(list_transform(raw, lambda x: abs(x))) AS size FROM fitw)""",
+}
+# each face of the box: a metric is absent (0), free (1), or fixed at 1 (2) or -1 (3)
+_FACES = {
+    "states": f"SELECT list_transform({_AXES}, lambda i: (code >> (2 * i - 2)) & 3) AS st FROM (SELECT unnest(range(1, 16384)) AS code)",
+    "faces": f"""SELECT *, list_filter({_AXES}, lambda i: st[i] = 1) AS free,
+       1 - len(list_filter(st, lambda x: x = 2)) + len(list_filter(st, lambda x: x = 3)) AS rest,
+       list_sum(list_transform({_AXES}, lambda i: CASE WHEN st[i] <> 0 THEN 1 << (i - 1) ELSE 0 END))::BIGINT AS mask FROM states""",
+    "points": f"""SELECT mask, free, list_transform({_AXES}, lambda i: CASE st[i] WHEN 2 THEN 1.0::DOUBLE WHEN 3 THEN -1.0::DOUBLE
+       WHEN 1 THEN rest::DOUBLE / len(free) ELSE 0.0::DOUBLE END) AS w FROM faces WHERE abs(rest) <= len(free)""",
+    "bases": f"""SELECT mask, cov, sh, list_concat([w], list_transform(range(1, len(free)), lambda j: list_transform({_AXES},
+       lambda i: CASE WHEN i = free[j] THEN 1.0::DOUBLE WHEN i = free[len(free)] THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END))) AS b FROM points, gram""",
+    "images": f"SELECT *, list_transform(b, lambda x: {_times_cov('x')}) AS cb FROM bases",
+    **_eliminated("face", f"SELECT mask, cov, sh, b, list_transform(b, lambda x: list_append(list_transform(cb, lambda y: {_dot('x', 'y')}), "
+                  f"{_dot('x', 'sh')})) AS m FROM images"),
+    "solved": "SELECT mask, cov, sh, b, CASE WHEN len(b) = 1 THEN [1.0::DOUBLE] ELSE list_transform(m, lambda r: r[len(r)]) END AS y FROM face7",
+    "corners": f"""SELECT mask, cov, sh, list_transform({_AXES}, lambda i: {_dot('list_transform(b, lambda x: x[i])', 'y')} / y[1]) AS w FROM solved
+       WHERE y[1] > 1e-12 * list_max(list_transform(y, lambda x: abs(x)))""",
+    "tops": f"""SELECT mask, w, {_dot('sh', 'w')} / sqrt(spread) AS ratio FROM
+       (SELECT *, {_dot('w', _times_cov('w'))} AS spread, list_sum(list_transform({_AXES}, lambda i: abs(w[i]) * sqrt(cov[i][i]))) AS size FROM corners)
+       WHERE spread > 1e-12 * size * size AND list_max(list_transform(w, lambda x: abs(x))) <= 1 + 1e-9
+       QUALIFY row_number() OVER (PARTITION BY mask ORDER BY ratio DESC) = 1""",
+    "bounded": f"""SELECT s.mask, own, ratio, ratio IS NULL OR own <= 0 AS fallback, list_transform({_AXES}, lambda i:
+       CASE WHEN ratio IS NULL OR own <= 0 THEN (s.mask & (1 << (i - 1)) <> 0)::INT::DOUBLE / bit_count(s.mask)
+            ELSE w[i] / list_sum(list_transform(w, lambda x: abs(x))) END) AS w
+       FROM (SELECT unnest(range(1, 128)) AS mask) s LEFT JOIN tops USING (mask), gram""",
+}
+_WEIGHTS_SQL = ", ".join(r6(f"w[{i + 1}]", f"w_{c}") for i, c in enumerate(composite.METRICS))
+_REACHABLE = "list_sum(w) > 0 AND list_max(list_transform(w, lambda x: abs(x))) <= list_sum(w) + 1e-12 AS reachable"
+_TRAIN_R, _TEST_R = (_r_sql([f"w[{i + 1}]" for i in range(7)], f"mom_{half}") for half in ("train", "test"))
+
+
+def _weight_columns(df: DataFrame) -> DataFrame:
+    return df.select(*[c for c in df.columns if c != "weights"], *[F.col("weights")[i].alias(f"w_{c}") for i, c in enumerate(composite.METRICS)])
+
+
+query("q80_fit_weights", f"SELECT unnest({composite.METRICS}) AS metric, {r6('unnest(w)', 'weight')}, reachable "
+      f"FROM (SELECT *, {_REACHABLE} FROM fitted WHERE mask = 127)", DOC, **_FITTED)(
+    lambda s, d: composite.fit_weights(tables.split_scores(s, d)[0]))
+
+
+@query("q80_least_squares", f"SELECT mask, {_names_sql('mask')} AS metrics, {r6(f'coalesce({_TRAIN_R}, 0)', 'r')}, {_REACHABLE}, {r6(_TEST_R, 'test_r')}, {_WEIGHTS_SQL} "
+       "FROM fitted, mom_train, mom_test", DOC, **_FITTED)
 def _(spark, sf_dir):
     train, test = _moments(spark, sf_dir)
-    found = composite.with_test_r(composite.least_squares(train, spark), test)
-    return found.withColumn("weights", F.concat_ws(",", F.transform("weights", lambda w: F.round(w, 6).cast("string"))))
+    return _weight_columns(composite.with_test_r(composite.least_squares(train, spark), test))
 
 
-_TEST_R = _r_sql([f"coalesce(u[{i + 1}] / 4.0::DOUBLE, (mask & {1 << i} <> 0)::INT::DOUBLE / bit_count(mask))" for i in range(7)], "mom_test")
+# q80_bounded: the best of every set, which the search below chooses from
+_BOUNDED_SQL = (f"SELECT mask, {_names_sql('mask')} AS metrics, fallback, {r6('coalesce(ratio / sqrt(own), 0)', 'r')}, "
+                f"{r6('t', 'test_r')}, {_WEIGHTS_SQL} FROM (SELECT *, {_TEST_R} AS t FROM bounded, mom_test)")
 
 
-@query("q81_select_best", f"SELECT mask, {_names_sql('mask')} AS metrics, {_SHOWN}, {r6('r', 'r')}, {r6('t', 'test_r')} "
-       f"FROM (SELECT *, {_TEST_R} AS t FROM swept, mom_test) WHERE t > -1 ORDER BY round(t, {composite.TIE_DIGITS}) DESC, mask LIMIT 1",
-       DOC, **_sweep_fragments(4, True))
-def _(spark, sf_dir):
+def _bounded(spark, sf_dir):
     train, test = _moments(spark, sf_dir)
-    return _shown(composite.select_best(composite.with_test_r(composite.weight_sweep(train, spark, positive=False), test)))
+    return composite.with_test_r(composite.bounded_weights(train, spark), test)
+
 
+query("q80_bounded_weights", _BOUNDED_SQL, DOC, **_FACES)(lambda s, d: _weight_columns(_bounded(s, d)))
+query("q81_select_best", f"{_BOUNDED_SQL} WHERE t > -1 ORDER BY round(t, {composite.TIE_DIGITS}) DESC, mask LIMIT 1", DOC, **_FACES)(
+    lambda s, d: _weight_columns(composite.select_best(_bounded(s, d))))
+_LATTICE_R = _r_sql([f"coalesce(u[{i + 1}] / 4.0::DOUBLE, (mask & {1 << i} <> 0)::INT::DOUBLE / bit_count(mask))" for i in range(7)], "mom_test")
 
-@query("q81_select_best_bounded")
+
+@query("q81_select_best_lattice", f"SELECT mask, {_names_sql('mask')} AS metrics, {_SHOWN}, {r6('r', 'r')}, {r6('t', 'test_r')} "
+       f"FROM (SELECT *, {_LATTICE_R} AS t FROM swept, mom_test) WHERE t > -1 ORDER BY round(t, {composite.TIE_DIGITS}) DESC, mask LIMIT 1",
+       DOC, **_sweep_fragments(4, True))
 def _(spark, sf_dir):
     train, test = _moments(spark, sf_dir)
-    best = composite.select_best(composite.with_test_r(composite.bounded_weights(train, spark), test))
-    return best.withColumn("weights", F.concat_ws(",", F.transform("weights", lambda w: F.round(w, 6).cast("string"))))
+    return _shown(composite.select_best(composite.with_test_r(composite.weight_sweep(train, spark, positive=False), test)))
 
 
 _REPORT = [c for c in composite.REPORT if c != "ROUGE-L F1"]

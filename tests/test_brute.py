@@ -133,12 +133,12 @@ def test_next_sentence_over_ranges(spark):
     assert {r["doc_id"]: r["next_sent"] for r in corpus.next_first_sentence(docs, 4).collect()} == want
 
 
-@pytest.mark.parametrize("direct", [10, 10_000])
-def test_quantiles(spark, direct):
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles(spark, accuracy):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=1500), np.where(np.arange(1500) < 15, 1.0, 2.0)
     rows = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)], "a double, b double, c double")
-    got = stats.quantiles(rows, ["a", "b", "c"], (0.01, 0.5, 0.99), direct_rows=direct, accuracy=100)
+    got = stats.quantiles(rows, ["a", "b", "c"], (0.01, 0.5, 0.99), accuracy=accuracy)
     assert got["a"] == pytest.approx(list(np.quantile(a, [0.01, 0.5, 0.99])))
     assert got["b"] == pytest.approx(list(np.quantile(b, [0.01, 0.5, 0.99])))
     assert got["c"] == [None] * 3
@@ -279,13 +279,29 @@ def test_bounded_weights_are_the_best(spark):
     assert [r["fallback"] for r in composite.bounded_weights(seven, spark).orderBy("mask").collect()] == [False, True, False]
 
 
+def _fit(values, lam):
+    """The likelihood of an exponent for positive values, in whole-number arithmetic of many digits."""
+    from decimal import Decimal, localcontext
+    with localcontext() as exact:
+        exact.prec = 400
+        powers = {v: ((Decimal(v) + 1).ln() * Decimal(lam)).exp() for v in set(values)}
+        mean = sum(powers[v] for v in values) / len(values)
+        spread = sum((powers[v] - mean) ** 2 for v in values) / len(values) / Decimal(lam) ** 2
+        return float(-Decimal(len(values)) / 2 * spread.ln() + (Decimal(lam) - 1) * sum((Decimal(v) + 1).ln() for v in values))
+
+
 def test_far_exponents_and_missed_fences(spark):
     rng = np.random.default_rng(8)
     lam = 9.0
     x = ((lam * rng.normal(20, 1, size=3000) + 1) ** (1 / lam) - 1)
     df = spark.createDataFrame([(float(v), float(v) + 1e6) for v in x], "a double, b double")
     assert abs(stats.exponents(df, ["a"])["a"]) > 4.5
-    got = stats.quantiles(df, ["a", "b"], (0.01, 0.5, 0.99), direct_rows=2, accuracy=3)
+    # nearly all at the top: the best exponent lies far beyond what powers can hold
+    steep = spark.createDataFrame([(50.0,)] * 3000 + [(49.9,), (49.8,), (0.5,)], "c double")
+    got = stats.exponents(steep, ["c"])["c"]
+    tried = {lam: _fit([50.0] * 3000 + [49.9, 49.8, 0.5], lam) for lam in (got, got - 0.1, got + 0.1, got / 2, got * 2)}
+    assert got > 100 and max(tried, key=tried.get) == got
+    got = stats.quantiles(df, ["a", "b"], (0.01, 0.5, 0.99), accuracy=3)
     assert got["a"] == pytest.approx(list(np.quantile(x, [0.01, 0.5, 0.99])))
 
 
