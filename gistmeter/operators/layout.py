@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
+UNPACKED = 4  # times that rows may be larger than their files
 SALT_ROWS = 100_000
 
 
@@ -42,15 +43,24 @@ def removed(spark: SparkSession, *paths: str) -> None:
 
 
 class Bucketed:
-    """A table written once, laid out by a key: group-bys on it need no shuffle, however often it is read."""
+    """A table written once, laid out by a key: group-bys on it need no shuffle, however often it is read.
 
-    def __init__(self, df: DataFrame, key: str = "id"):
+    A bucket is one task's share, so a large table asks for as many as it has times some 128 MB.
+    """
+
+    def __init__(self, df: DataFrame, key: str = "id", buckets: int | None = None):
         self.spark = df.sparkSession
         self.name, self.path = f"gistmeter_{uuid.uuid4().hex}", fresh_path(df.sparkSession, "bucketed")
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", self.path).saveAsTable(self.name))
         self.rows = self.spark.table(self.name)
 
+    def __enter__(self) -> DataFrame:
+        return self.rows
+
+    def __exit__(self, *failure) -> None:
+        self.close()
+
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE {self.name}")
         removed(self.spark, self.path)
@@ -61,16 +71,25 @@ def by_pair(pairs: DataFrame, key: str = "id") -> DataFrame:
     return pairs.repartition(key)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimizer takes a table's size for; of files it is theirs, of local rows it is unknown and huge."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def lookup_join(facts: DataFrame, table: DataFrame, key: str, how: str = "left", spread: str = "id",
                 broadcast_bytes: int = BROADCAST_BYTES, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Join facts to a dictionary with one row per key.
 
-    A dictionary whose plan promises at most `broadcast_bytes` is left to the optimizer, which broadcasts it
-    by the same measure.  Otherwise a key takes one salt for each `salt_rows` fact rows it has, so a frequent
-    key is met by many tasks and a rare one is copied nowhere.  The result is the same.
+    A dictionary of at most `broadcast_bytes` goes to every task.  Where its plan cannot promise that, it is written
+    once and its files are measured.  Beyond that, a key takes one salt for each `salt_rows` fact rows it has, so a
+    frequent key is met by many tasks and a rare one is copied nowhere.  The result is the same.
     """
-    promised = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if promised <= broadcast_bytes:
+    if broadcast_bytes and plan_bytes(table) > broadcast_bytes:
+        table = materialise(table, "dictionary")
+        fits = plan_bytes(table) * UNPACKED <= broadcast_bytes
+    else:
+        fits = plan_bytes(table) <= broadcast_bytes
+    if fits:
         return facts.join(F.broadcast(table), key, how)
     heavy = facts.groupBy(key).count().filter(F.col("count") > salt_rows)
     salts = heavy.select(key, F.ceil(F.col("count") / salt_rows).cast("int").alias("_salts"))

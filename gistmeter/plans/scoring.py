@@ -69,20 +69,22 @@ def _free_parts(pairs: DataFrame, vectors: DataFrame, token_key, dictionary: Dat
 
 def scores_of(pairs: DataFrame, vectors: DataFrame, token_key=similarity.own_key, dictionary: DataFrame | None = None,
               synonyms: DataFrame | None = None, stem: bool = True, subsequence: bool = True, known: DataFrame | None = None,
-              order: int = 2, free: bool = True, base: bool = True) -> DataFrame:
+              order: int = 2, free: bool = True, base: bool = True, buckets: int | None = None) -> DataFrame:
     """(id, metrics): seven that need no gold summary, and 12 of overlap, three more with synonyms, which are
     0.0 where they have no value.
 
     Pairs, and stemmed tokens, are written once, laid out by id; every metric reads them in a stage of its
-    own without moving texts again.  These tables are removed at the end.
+    own without moving texts again.  These tables are removed at the end, also when a metric fails.  `buckets` is how
+    many parts pairs are laid out in.
     """
-    texts = Bucketed(pairs.select("id", "text", "summary"))
-    stems = Bucketed(overlap.rouge_tokens_by_side(texts.rows, stem)) if base else None
-    free_parts = _free_parts(texts.rows, vectors, token_key, dictionary, known, order) if free else []
-    base_parts = _base_parts(texts.rows, vectors, token_key, synonyms, stems.rows, subsequence) if base else []
-    wide = _gathered(texts.rows.select("id"), free_parts + base_parts)
-    for table in filter(None, (texts, stems)):
-        table.close()
+    with Bucketed(pairs.select("id", "text", "summary"), buckets=buckets) as texts:
+        free_parts = _free_parts(texts, vectors, token_key, dictionary, known, order) if free else []
+        if base:
+            with Bucketed(overlap.rouge_tokens_by_side(texts, stem), buckets=buckets) as stems:
+                base_parts = _base_parts(texts, vectors, token_key, synonyms, stems, subsequence)
+                wide = _gathered(texts.select("id"), free_parts + base_parts)
+        else:
+            base_parts, wide = [], _gathered(texts.select("id"), free_parts)
     overlaps = [c for metrics, _ in base_parts for c in metrics]
     return wide.select("id", *[F.coalesce(F.col(quoted(c)), F.lit(0.0)).alias(c) if c in overlaps else quoted(c) for c in wide.columns if c != "id"])
 

@@ -17,6 +17,8 @@ def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     per application, as Parquet: a query reads the columns it needs.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
+    for other in [k for k in _held if k[0] != key[0]]:
+        del _held[other]  # its application, and the folder it wrote to, are gone
     if key not in _held:
         pairs = corpus.pairs_doc(spark, sf_dir)
         vectors, token_key = corpus.token_vectors(spark, sf_dir)
