@@ -2,7 +2,7 @@
 of a summary against them.
 
 Sentence vectors are whole numbers, so sums, distances and ties do not depend on the order
-of rows.  Each text is clustered on its own; Spark spreads the texts.
+of rows.  Each text is clustered on its own; Spark spreads the texts, and the blocks of long ones.
 """
 
 import numpy as np
@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from gistmeter.functions import text
 from gistmeter.functions.vectors import as_vector, component_sums
-from gistmeter.operators.layout import lookup_join
+from gistmeter.operators.layout import lookup_join, materialise
+from gistmeter.operators.long_texts import clustered
 from gistmeter.operators.similarity import own_key, vector_dim
 from gistmeter.operators.tokens import SUMMARY, TEXT, sentence_rows
 
 SCALE = 1000
 STEP = 4096
+LONG = 8192  # sentences of a text that one task clusters
 
 
 def sentence_vectors(pairs: DataFrame, vectors: DataFrame, token_key=own_key, scale: int = SCALE) -> DataFrame:
@@ -75,8 +77,20 @@ def _split_sides(rows: pd.DataFrame):
     return own.sent_pos.to_numpy(), stacked[0], other.sent_pos.to_numpy(), stacked[1]
 
 
-def pseudo_references(pairs: DataFrame, vectors: DataFrame, token_key=own_key) -> DataFrame:
-    """(id, cluster, sent_pos): one sentence of the text per non-empty cluster."""
+def _by_length(pairs: DataFrame, long: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of at most so many sentences on each side, and the others if there are any."""
+    def lengthy(side: str):
+        return F.coalesce((F.length(side) > 2 * long) & (F.size(text.sentences(F.col(side))) > long), F.lit(False))
+
+    many = lengthy("text") | lengthy("summary")
+    others = pairs.filter(many)
+    return (pairs, None) if others.isEmpty() else (pairs.filter(~many), others)
+
+
+def pseudo_references(pairs: DataFrame, vectors: DataFrame, token_key=own_key, long: int = LONG) -> DataFrame:
+    """(id, cluster, sent_pos): one sentence of the text per non-empty cluster.  Texts of more than `long` sentences are
+    clustered in blocks of so many, with the same result."""
+    pairs, others = _by_length(pairs, long)
     sents = sentence_vectors(pairs, vectors, token_key)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +101,10 @@ def pseudo_references(pairs: DataFrame, vectors: DataFrame, token_key=own_key) -
                              "sent_pos": [int(where[i]) for _, i in found]})
 
     key = sents.schema["id"].dataType.simpleString()
-    return sents.groupBy("id").applyInPandas(choose, f"id {key}, cluster long, sent_pos long")
+    found = sents.groupBy("id").applyInPandas(choose, f"id {key}, cluster long, sent_pos long")
+    if others is None:
+        return found
+    return found.unionByName(clustered(materialise(sentence_vectors(others, vectors, token_key), "sentences"), long, _nearest))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -95,9 +112,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros(m.shape), where=norm > 0)
 
 
-def supert_score(pairs: DataFrame, vectors: DataFrame, token_key=own_key) -> DataFrame:
+def supert_score(pairs: DataFrame, vectors: DataFrame, token_key=own_key, long: int = LONG) -> DataFrame:
     """(id, supert_score): mean over summary sentences of the best cosine to a pseudo-reference.
-    0 where one side has no sentence."""
+    0 where one side has no sentence.  Texts of more than `long` sentences are clustered in blocks of so many."""
+    pairs, others = _by_length(pairs, long)
     sents = sentence_vectors(pairs, vectors, token_key)
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
@@ -110,4 +128,25 @@ def supert_score(pairs: DataFrame, vectors: DataFrame, token_key=own_key) -> Dat
 
     key = sents.schema["id"].dataType.simpleString()
     scored = sents.groupBy("id").applyInPandas(best, f"id {key}, best double")
+    if others is not None:
+        scored = scored.unionByName(_best_of_long(others, vectors, token_key, long, key))
     return scored.groupBy("id").agg(F.avg("best").alias("supert_score"))
+
+
+def _best_of_long(pairs: DataFrame, vectors: DataFrame, token_key, long: int, key: str) -> DataFrame:
+    """(id, best): for every sentence of a summary its best cosine, in blocks of them; 0 where the text or summary has none."""
+    sents = materialise(sentence_vectors(pairs, vectors, token_key), "sentences")
+    found = clustered(sents, long, _nearest).select("id", "sent_pos")
+    refs = materialise(found.join(sents.filter(F.col("side") == TEXT), ["id", "sent_pos"]).select("id", "vec"), "references")
+    asked = sents.filter(F.col("side") == SUMMARY).select("id", F.floor(F.col("sent_pos") / long).alias("block"), "vec")
+
+    def best(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(own):
+            return pd.DataFrame({"id": rows.id.iloc[:1], "best": [0.0] * min(len(rows), 1)})
+        both = [_unit(np.stack(f.vec.to_numpy()).astype("int64")) for f in (rows, own)]
+        return pd.DataFrame({"id": rows.id.iloc[0], "best": (both[0] @ both[1].T).max(axis=1)})
+
+    copies = refs.join(materialise(asked.select("id", "block").distinct(), "blocks"), "id")
+    found = asked.groupBy("id", "block").cogroup(copies.groupBy("id", "block")).applyInPandas(best, f"id {key}, best double")
+    without = sents.select("id").distinct().join(asked.select("id").distinct(), "id", "left_anti").select("id", F.lit(0.0).alias("best"))
+    return found.unionByName(without)

@@ -327,19 +327,19 @@ S.FRAGMENTS["ctok"] = "SELECT id, side, unnest(toks) AS tok, generate_subscripts
 S.FRAGMENTS["nkey"] = f"""
 SELECT entity, l, len(l) AS n, array_to_string(l, chr(31)) AS key FROM (SELECT DISTINCT entity, regexp_extract_all(entity, '{S.WORD}') AS l FROM nam)
 WHERE len(l) > 0"""
+# no name here has more tokens than the windows
+S.FRAGMENTS["cwin"] = ("SELECT id, side, pos, [" + ", ".join(["tok", *(f"lead(tok, {k}) OVER w" for k in range(1, 16))])
+                       + "] AS win FROM ctok WINDOW w AS (PARTITION BY id, side ORDER BY pos)")
 S.FRAGMENTS["opened"] = """
-SELECT id, side, pos, n, key FROM ctok JOIN nkey ON l[1] = tok UNION SELECT id, side, pos, n, key FROM ctok JOIN nkey ON l[1] = lower(tok)"""
+SELECT id, side, pos, n, array_to_string(win[1:n], chr(31)) AS run FROM cwin, (SELECT DISTINCT n FROM nkey) WHERE win[n] IS NOT NULL"""
 S.FRAGMENTS["named"] = """
-SELECT id, side, pos, n, key FROM (SELECT o.*, array_to_string(toks[pos:pos + n - 1], chr(31)) AS run FROM opened o JOIN ctext USING (id, side))
-WHERE key = run OR key = lower(run)"""
+SELECT id, side, pos, o.n, key FROM opened o JOIN (SELECT DISTINCT key FROM nkey) ON key = run
+UNION SELECT id, side, pos, o.n, key FROM opened o JOIN (SELECT DISTINCT key FROM nkey) ON key = lower(run)"""
 S.FRAGMENTS["nlong"] = "SELECT id, side, pos, max(n) AS n FROM named GROUP BY id, side, pos"
-# the next free start is among the rows that follow: no name here has more than 64 tokens
-S.FRAGMENTS["nnext"] = """
-SELECT id, side, pos, list_filter(ahead, lambda x: x >= pos + n)[1] AS nxt FROM (
-  SELECT *, list(pos) OVER (PARTITION BY id, side ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 64 FOLLOWING) AS ahead FROM nlong)"""
 S.FRAGMENTS["walk"] = """
-SELECT id, side, min(pos) AS pos FROM nlong GROUP BY id, side
-UNION ALL SELECT w.id, w.side, x.nxt FROM walk w JOIN nnext x ON x.id = w.id AND x.side = w.side AND x.pos = w.pos WHERE x.nxt IS NOT NULL"""
+SELECT id, side, unnest(list_reduce(list_transform(l, lambda s: [s]),
+                                    lambda a, x: CASE WHEN a[-1].pos + a[-1].n <= x[1].pos THEN list_concat(a, x) ELSE a END)).pos AS pos
+FROM (SELECT id, side, list({pos: pos, n: n} ORDER BY pos) AS l FROM nlong GROUP BY id, side)"""
 S.FRAGMENTS["met"] = """
 SELECT DISTINCT w.id, w.side, k.entity FROM walk w JOIN nlong l ON l.id = w.id AND l.side = w.side AND l.pos = w.pos
 JOIN named m ON m.id = l.id AND m.side = l.side AND m.pos = l.pos AND m.n = l.n JOIN nkey k ON k.key = m.key"""

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistmeter.functions import text as X
-from gistmeter.operators import entities, gazetteer, stats
+from gistmeter.operators import entities, gazetteer, pseudo_reference, stats
 from gistmeter.plans import incremental
 from gistmeter.sources.tables import CACHE
 from gistmeter.sources.versions import VersionedTable
@@ -111,7 +111,7 @@ def test_only_changed_pairs_are_scored(spark, tmp_path):
         return spark.createDataFrame(rows, "id string, text string, summary string")
 
     rows = [(f"p{k}", "t" * k, "s" if k % 2 else None) for k in range(60)]
-    want = lambda rows: {(i, None, None) if i == "p3" else (i, float(len(t)), s and float(len(s))) for i, t, s in rows}
+    want = lambda rows: {(i, None, None) if i == "p3" else (i, float(len(t)), None if s is None else float(len(s))) for i, t, s in rows}
     assert table().update(frame(rows)) == 60 and set(map(tuple, table().scores(frame(rows)).collect())) == want(rows)
     later = [*rows[:50], ("p50", "changed", "s"), ("p51", rows[51][1], ""), ("new", "", None)]
     assert table().update(frame(later)) == 3 and table().update(frame(later)) == 0
@@ -123,6 +123,31 @@ def test_only_changed_pairs_are_scored(spark, tmp_path):
     assert merged == 4 and set(map(tuple, table().scores(frame(later)).collect())) == want(later)
 
 
+def plain_text(rnd, n):
+    return " ".join(f"{rnd.choice('abcdefgh')} {rnd.choice('abcdefgh')}." for _ in range(n))
+
+
+def letter_vectors(spark, width=6):
+    rng = np.random.default_rng(3)
+    return spark.createDataFrame([(c, list(map(float, rng.normal(size=width)))) for c in "abcdefgh."], "key string, vec array<double>")
+
+
+def test_long_texts_are_clustered_in_blocks(spark):
+    rnd = random.Random(6)
+    rows = [(i, plain_text(rnd, rnd.randint(0, 40)), plain_text(rnd, rnd.randint(0, 7))) for i in range(12)] + [(90, None, "a b."), (91, "a. " * 30, None), (92, "? " * 30, "? a.")]
+    pairs, vectors = spark.createDataFrame(rows, "id long, text string, summary string"), letter_vectors(spark)
+    for operator in (pseudo_reference.pseudo_references, pseudo_reference.supert_score):
+        whole, blocks = ({tuple(r) for r in operator(pairs, vectors, long=n).collect()} for n in (8192, 5))
+        assert len(whole) > 10 and {r[:-1] + (round(r[-1], 9),) for r in whole} == {r[:-1] + (round(r[-1], 9),) for r in blocks}
+
+
+def test_a_text_of_two_hundred_thousand_sentences(spark):
+    rnd = random.Random(7)
+    pairs = spark.createDataFrame([(1, plain_text(rnd, 200_000), plain_text(rnd, 3))], "id long, text string, summary string")
+    refs = {tuple(r) for r in pseudo_reference.pseudo_references(pairs, letter_vectors(spark)).collect()}
+    assert refs == {tuple(r) for r in pseudo_reference.pseudo_references(pairs, letter_vectors(spark), long=1_000_000).collect()} and len(refs) == 3
+
+
 def test_sums_over_many_columns(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 40)) + 1e6 * np.arange(40)
