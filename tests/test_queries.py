@@ -7,7 +7,7 @@ from oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["q01_read_pairs_csv", "q06_merge_labels", "q16_sentences", "q33_lint_findings", "q37_perplexity", "q40_sdc_unigram",
-          "q44_shannon_score", "q46_supert_score", "q50_cache_upsert", "q53_kg_score", "q55_rouge_2", "q57_rouge_ss",
+          "q44_shannon_score", "q46_supert_score", "q47_gazetteer_phrases", "q50_cache_upsert", "q50_cache_versions", "q53_kg_score", "q55_rouge_2", "q57_rouge_ss",
           "q61_parse_ratings", "q71_normalize", "q72_histogram"]
 
 
