@@ -6,7 +6,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,16 +14,16 @@ from gistmeter.llm.columns import SLICE, boundaries, column_values, mixed, row_s
 from gistmeter.llm.shared import fresh_folder, mapped_array, text_documents, write_arrays, written
 
 SIMILAR = 80  # per cent
-KEPT = 32  # values of a sketch
-# Sets of 80 % similarity share at least ENOUGH of their KEPT values but in about one case of ten million;
+KEPT = 20  # values of a sketch
+# Sets of 80 % similarity share at least ENOUGH of their KEPT values but in about two cases of ten million;
 # sets of fewer than FULL elements are compared by all they have.
-ENOUGH, FULL = 13, 17
+ENOUGH, FULL = 6, 17
 COMMON = 2  # values of the rare part that candidates share
-HUBS = 8  # of a cluster in a round
-ROUNDS = 4
-PAIRS_EACH = 20  # pairs for each set that may be left to the last comparison before the rounds are over
+HUBS = 8  # members of a large cluster that all others are compared with first
 SHARD_IDS = 1_000_000  # ids in a mapped array
-BLOCK = 1000  # members of a cluster that one task compares with its hubs
+LIST_BLOCK = 500  # members of a list, and members and values of a cluster, that a task compares with each other or another block
+SET_BLOCK, SET_VALUES = 1000, 1_000_000
+PAIRS = 50_000  # pairs of sketches that are looked at at once
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,69 +126,207 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for nodes with a link.
 
     Every node is pointed at the smallest neighbour it knows, in turn for smaller and larger neighbours,
-    until nothing changes; each round is written, so its lineage is cut.  Hot nodes are met by aggregations
-    with partial results in each task.
+    until nothing changes; each round is written, so its lineage is cut.  A node of many links is one window of narrow
+    rows, which spills.
     """
     def mark(rows: DataFrame):
         return rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    around = Window.partitionBy("u")
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), what)
     before, now = None, mark(edges)
     while now != before:
-        # larger neighbours of a node go to its smallest neighbour
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        # larger neighbours of a node go to its smallest neighbour, known to its own row by a window of one shuffle
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        large = both.withColumn("m", F.least(F.min("v").over(around), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         # a node and its smaller neighbours go to the smallest of them
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        joined = large.withColumn("m", F.min("v").over(around)).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = written(joined.filter("u > v").distinct(), what)
         before, now = now, mark(edges)
     roots = edges.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("node"), "component").union(roots.select(F.col("component").alias("node"), "component").distinct())
 
 
+class _Forest:
+    """Which numbers have been joined, directly or in steps."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (up := self.parent.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for y in path:
+            self.parent[y] = x
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _complete(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Of rows sorted by their first columns: whole groups, and where each one starts, and the end."""
+    def edges(rows: pa.RecordBatch) -> np.ndarray:
+        values = [c.to_numpy() for c in rows.columns[:keys]]
+        fresh = reduce(np.logical_or, [v[1:] != v[:-1] for v in values])
+        return np.concatenate([[0], np.flatnonzero(fresh) + 1, [len(rows)]])
+
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        starts = edges(rows)
+        if starts[-2]:
+            yield rows.slice(0, int(starts[-2])), starts[:-1]
+        held = rows.slice(int(starts[-2]))
+    if held is not None:
+        yield held, edges(held)
+
+
+def _links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _sketch_matrix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches side by side, filled up with numbers that no sketch holds, and how long each is."""
+    ends = lists.offsets.to_numpy()
+    size = np.diff(ends)
+    out = np.full((len(lists), KEPT), 1 << 40)
+    out[np.arange(KEPT) < size[:, None]] = lists.values.to_numpy()[ends[0]:ends[-1]]
+    return out, size
+
+
+def _needed(n: np.ndarray) -> np.ndarray:
+    return np.where(n < FULL, -(-n * SIMILAR // 100), ENOUGH)
+
+
+def _alike_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """`_alike` of pairs of rows of sketches."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    same = np.zeros(both.shape, bool)
+    same[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < 1 << 40)
+    place = np.arange(both.shape[1]) - np.cumsum(same, axis=1)  # in the union
+    shared, early = same.sum(1), (same & (place < longest[:, None])).sum(1)
+    small = (n < FULL) & (m < FULL)
+    return np.where(small, shared * 100 >= (n + m - shared) * SIMILAR, early >= np.minimum(_needed(n), _needed(m)))
+
+
+def _linked_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join every two clusters of which a list holds an alike pair, directly or in steps.
+
+    Columns: key, lo, hi, side, rep, n, cluster, sketch; where lo is not hi, only rows of different sides are compared.
+    Pairs are looked at some thousands at once and nothing is passed on for clusters that the task has joined before.
+    """
+    forest = _Forest()
+    for rows, starts in _complete(batches, 3):
+        lo, hi, side, rep, n, cluster = (rows.column(k).to_numpy() for k in range(1, 7))
+        sketch, size = _sketch_matrix(rows.column(7))
+        index = np.arange(len(rows))
+        after = starts[np.searchsorted(starts, index, "right")] - index - 1
+        upto = np.concatenate([[0], np.cumsum(after)])
+        known, place = np.unique(cluster, return_inverse=True)
+        found, at = [], 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+            i = np.repeat(index[at:end], after[at:end])
+            j = i + 1 + np.arange(len(i)) - (np.repeat(upto[at:end], after[at:end]) - upto[at])
+            root = np.fromiter(map(forest.root, known.tolist()), np.int64, len(known))[place] if len(i) else cluster
+            open_ = (root[i] != root[j]) & ((lo[i] == hi[i]) | (side[i] != side[j])) & (n[i] * 100 >= n[j] * SIMILAR) & (n[j] * 100 >= n[i] * SIMILAR)
+            i, j = i[open_], j[open_]
+            alike = _alike_pairs(sketch[i], sketch[j], n[i], n[j], np.maximum(size[i], size[j])) if len(i) else np.empty(0, bool)
+            found += [(a, b) for a, b, c, d in zip(rep[i[alike]].tolist(), rep[j[alike]].tolist(), cluster[i[alike]].tolist(), cluster[j[alike]].tolist())
+                      if forest.join(c, d)]
+            at = end
+        yield _links_batch(found)
+
+
 def candidate_clusters(sets: DataFrame, lists: DataFrame) -> DataFrame:
     """(rep, cluster): sets that may be linked, directly or in steps, have one cluster; others have none.
 
     First each set is compared with two heads of its lists alone, which joins large groups of near copies in
-    rows in proportion to their members.  Then lists in which several clusters remain give all pairs of different
-    clusters, and of similar sizes.
+    rows in proportion to their members.  Then lists in which several clusters remain are compared member by member
+    inside tasks, long ones block by block; a task passes on links that join clusters, not pairs.
     """
     sketch = sets.select("rep", "n", _short("sketch").alias("sketch"))
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        left = sketch.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = sketch.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        return pairs.distinct().join(left, "a").join(right, "b").filter(_alike("sa", "sb", "na", "nb")).select("a", "b")
-
     # two heads for each set: the smallest, and the one of most lists; near copies have many between them
     heads = lists.filter((F.col("rep") != F.col("head")) & _near_size("n", "head_n")).groupBy("rep", "head").count()
     chosen = heads.groupBy("rep").agg(F.min("head").alias("low"), F.max_by("head", F.struct("count", F.bitwise_not("head"))).alias("most"))
     star = chosen.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("rep").alias("b"))
-    links = written(estimated(star), "star-links")
+    left = sketch.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketch.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    links = written(star.join(left, "a").join(right, "b").filter(_alike("sa", "sb", "na", "nb")).select("a", "b"), "star-links")
     first = components(links).select(F.col("node").alias("rep"), "component")
-    placed = lists.join(first, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("cluster"))
-    split = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low < high").select("key")
-    rest = written(placed.join(split, "key"), "mixed-lists")
-    x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("cluster").alias("ca"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("cluster").alias("cb"))
-    close = (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size("na", "nb")
-    all_links = links.union(estimated(x.join(y, close).select("a", "b")))
-    return components(all_links).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-
-
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether whole sets are similar, and how much.  Columns: a, b, and the sets as sorted 64-bit numbers."""
-    for batch in batches:
-        similar, share = [], []
-        for left, right in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-            both = int((np.searchsorted(y, x, "right") - np.searchsorted(y, x, "left")).sum())
-            union = len(x) + len(y) - both
-            similar.append(100 * both >= SIMILAR * union)
-            share.append(both / union)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.bool_()), pa.array(share, pa.float64())], names=["a", "b", "similar", "share"])
+    placed = lists.join(first, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("cluster"))
+    mixed = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
+    rest = placed.join(mixed.filter("low < high").select("key", "blocks"), "key").join(sketch, "rep")
+    dealt = _dealt(rest, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1))
+    joined = _by_group(dealt.select("key", "lo", "hi", "side", "rep", "n", "cluster", "sketch")).mapInArrow(_linked_lists, "a long, b long")
+    return components(links.union(written(joined, "list-links"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
+def _dealt(rows: DataFrame, block: Column, partners: Column) -> DataFrame:
+    """Each row once for every block that its own is compared with: lo and hi are the two, side is its own."""
+    both = rows.withColumn("side", block).withColumn("other", F.explode(partners))
+    return both.select("*", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    keys = rows.columns[:3]
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _linked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between similar whole sets that join every two linked components of a group, directly or in steps.
+
+    Columns: cluster, lo, hi, side, rep, n, component, set (sorted 64-bit numbers); where lo is not hi, only rows of
+    different sides are compared.  Values that one set of the group has alone can be in no intersection: a set with
+    more than a fifth of such is similar to none.  Of the others, each is marked once and counted in those that are
+    not yet in its component.
+    """
+    for rows, starts in _complete(batches, 3):
+        found = []
+        for at, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if end - at > 1:
+                found += _group_links(rows.slice(at, end - at))
+        yield _links_batch(found)
+
+
+def _group_links(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+    side, rep, n = (rows.column(k).to_numpy() for k in (3, 4, 5))
+    across = rows.column(1)[0] != rows.column(2)[0]
+    label = np.unique(rows.column(6).to_numpy(), return_inverse=True)[1]
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column(7)]
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    code, owner = code[shared], owner[shared]
+    edges = boundaries(owner, len(sets))
+    able = np.diff(edges) * 100 >= n * SIMILAR
+    mark, found = np.zeros(len(times), bool), []
+    for i in np.flatnonzero(able).tolist():
+        others = np.flatnonzero((label != label[i]) & able & (n * 100 >= n[i] * SIMILAR) & (n[i] * 100 >= n * SIMILAR))
+        others = others[(others > i) & ((side[others] != side[i]) | (not across))]
+        if not len(others):
+            continue
+        own = code[edges[i]:edges[i + 1]]
+        mark[own] = True
+        if len(others) * 8 < len(sets):
+            both = np.array([np.count_nonzero(mark[code[edges[j]:edges[j + 1]]]) for j in others.tolist()])
+        else:
+            upto = np.concatenate([[0], np.cumsum(mark[code])])
+            both = upto[edges[others + 1]] - upto[edges[others]]
+        mark[own] = False
+        for j in others[both * 100 >= (n[i] + n[others] - both) * SIMILAR].tolist():
+            if label[j] != label[i]:
+                found.append((int(rep[i]), int(rep[j])))
+                label[label == label[j]] = label[i]
+    return found
 
 
 def _fingerprints(grams: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
@@ -227,7 +365,7 @@ def with_ids(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
-    """(rep, cluster, n, sketch, set): the whole shingle sets of the asked documents, as sorted numbers."""
+    """(rep, cluster, n, set): the whole shingle sets of the asked documents, as sorted numbers."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.column(2)
@@ -238,69 +376,59 @@ def whole_sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
                 sets = [grams[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary()), own], names=["rep", "set", "rest"]).filter(pa.array(same))
 
-    kept = asked.select("rep", F.struct("cluster", "n", "a", "b", _short("sketch").alias("sketch")).alias("rest"))
+    kept = asked.select("rep", F.struct("cluster", "n", "a", "b").alias("rest"))
     texts = with_ids(docs, asked).join(kept, "rep").select("rep", "text", "rest")
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("set", T.BinaryType()), texts.schema["rest"]])
-    return texts.mapInArrow(task, schema).select("rep", "set", "rest.*")
+    return texts.mapInArrow(task, schema).select("rep", "rest.cluster", "rest.n", "set")
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """(a, b, similar, share) of rows (a, b, sa, sb), by their whole sets."""
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(_jaccard, "a long, b long, similar boolean, share double")
+def _compared(rows: DataFrame) -> DataFrame:
+    return _by_group(rows.select("cluster", "lo", "hi", "side", "rep", "n", "component", "set")).mapInArrow(_linked_sets, "a long, b long")
 
 
-def _with_components(sets: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).select(F.col("node").alias("rep"), "component")
-    return sets.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _parts(members: str, values: str) -> Column:
+    return F.ceil(F.greatest(F.col(members) / SET_BLOCK, F.col(values) / SET_VALUES)).cast("int")
 
 
 def verified_links(sets: DataFrame) -> DataFrame:
     """(a, b): links between whole sets that join every two linked sets of a cluster, directly or in steps.
 
-    Each round compares the members of a cluster with a few hubs, and later with hubs of the largest
-    component, so groups of near copies join in rows in proportion to their size.  Rounds end when few pairs
-    are left.  Then all pairs that are still in different components are compared, but for those within the
-    largest; sizes, distances to hubs and sketches are looked at before whole sets.  Members are dealt to blocks by their
-    number and hubs copied to the blocks, so no task holds a whole large cluster.
+    A cluster that fits a block is compared in one task.  A larger one is dealt to blocks, and each block is first
+    compared with a few hubs, which joins near copies in rows in proportion to their number.  Then its largest component
+    needs no comparison within itself: blocks of the other members are compared with each other and with its
+    blocks.  Tasks hold two blocks and pass on links that join components, not pairs.
     """
-    counted = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = written(sets.join(counted, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")), "whole-sets")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    state, pool, rest, compared = placed, placed.withColumn("links", F.lit(0)), placed, []
-    for turn in range(ROUNDS):
-        # the members with most links are the best hubs
-        best = F.min(F.struct(-F.col("links"), F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep"))).alias("x")
-        hubs = pool.groupBy("cluster", F.pmod(F.xxhash64("rep", F.lit(10 + turn)), F.lit(HUBS)).alias("hub")).agg(best).select("cluster", "hub", F.col("x.rep").alias("rep"))
-        hub_sets = placed.join(hubs, ["rep", "cluster"]).select("cluster", every, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-        members = rest.select("cluster", "block", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-        found = _verified(members.join(hub_sets, ["cluster", "block"]).filter((F.col("a") != F.col("b")) & _near_size("na", "nb")))
-        compared.append(written(found.join(hubs.select(F.col("rep").alias("a"), "hub"), "a"), "compared"))
-        links = reduce(DataFrame.union, compared).filter("similar").select("a", "b")
-        state = written(_with_components(placed, links), "state")
-        sizes = written(state.groupBy("cluster", "component").count(), "sizes")
-        main = sizes.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("members"))
-        left, members = main.agg(F.sum((F.col("members") - F.col("m.count")) * F.col("members")), F.sum("members")).first()
-        main = main.select("cluster", F.col("m.component").alias("component"))
-        if (left or 0) <= PAIRS_EACH * (members or 0):
-            break
-        rest = state.join(main, ["cluster", "component"], "left_anti")
-        pool = (state.join(main, ["cluster", "component"], "left_semi")
-                .join(links.groupBy(F.col("b").alias("rep")).agg(F.count(F.lit(1)).alias("links")), "rep", "left").fillna(0, ["links"]))
-    # how far each set is from the hubs of the first round
-    near = compared[0].groupBy(F.col("b").alias("rep")).agg(F.array(*[F.max(F.when(F.col("hub") == k, F.col("share"))) for k in range(HUBS)]).alias("to_hubs"))
-    state = state.drop("set").join(near, "rep", "left")
-    outside = state.join(main, ["cluster", "component"], "left_anti").select(
-        "cluster", every, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("component").alias("ca"), F.col("to_hubs").alias("ha"))
-    everyone = state.join(main.withColumn("largest", F.lit(True)), ["cluster", "component"], "left").select(
-        "cluster", "block", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("component").alias("cb"), "largest", F.col("to_hubs").alias("hb"))
-    # 1 - similarity is a distance: two sets cannot be closer than their distances to a hub differ
-    apart = F.exists(F.zip_with("ha", "hb", lambda p, q: F.coalesce(F.abs(p - q) > 1 - SIMILAR / 100 + 1e-9, F.lit(False))), lambda far: far)
-    close = ((outside["cluster"] == everyone["cluster"]) & (outside["block"] == everyone["block"]) & (F.col("ca") != F.col("cb"))
-             & (F.col("largest") | (F.col("a") < F.col("b"))) & _near_size("na", "nb") & ~F.coalesce(apart, F.lit(False)) & _alike("ka", "kb", "na", "nb"))
-    pairs = outside.join(everyone, close).select("a", "b")
-    whole = placed.select("rep", "set")
-    last = _verified(pairs.join(whole.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(whole.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b"))
-    return written(links.union(last.filter("similar").select("a", "b")), "links")
+    placed = written(sets, "whole-sets")
+    size = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("values"))
+    large = written(size.select("cluster", _parts("members", "values").alias("parts")).filter("parts > 1"), "large-clusters")
+    zero = F.lit(0)
+    small = placed.join(large, "cluster", "left_anti").select("*", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), F.col("rep").alias("component"))
+    links = written(_compared(small), "links")
+    return links if large.isEmpty() else links.union(_large_links(placed.join(large, "cluster")))
+
+
+def _large_links(placed: DataFrame) -> DataFrame:
+    spread = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    best = F.min(F.struct(F.xxhash64("rep", F.lit(2)).alias("h"), F.col("rep"))).alias("x")
+    hubs = placed.groupBy("cluster", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(HUBS)).alias("hub")).agg(best).select("cluster", F.col("x.rep").alias("rep"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lo")
+    around = placed.join(hubs, ["cluster", "rep"]).select("*", every, F.lit(0).alias("side"))
+    members = placed.select("*", spread.alias("lo"), F.lit(1).alias("side"))
+    star = members.unionByName(around).select("*", (F.col("lo") + 1).alias("hi"), F.col("rep").alias("component"))
+    links = written(_compared(star), "hub-links")
+    found = components(links).select(F.col("node").alias("rep"), "component")
+    state = written(placed.drop("set").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "state")
+    sizes = state.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("values"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("members", "component")).alias("m"), F.sum("members").alias("members"), F.sum("values").alias("values"),
+                                        F.max_by("values", F.struct("members", "component")).alias("inside"))
+    main = main.select("cluster", F.col("m.component").alias("largest"), (F.col("members") - F.col("m.members")).alias("left"), (F.col("values") - F.col("inside")).alias("over"))
+    outer = main.filter("left > 0").select("cluster", "largest", _parts("left", "over").alias("outer"))
+    rest = state.join(outer, "cluster").join(placed.select("cluster", "rep", "set"), ["cluster", "rep"])
+    inside = F.col("component") == F.col("largest")
+    last = F.col("parts") + F.col("outer") - 1
+    block = F.when(inside, spread).otherwise(F.col("parts") + F.pmod(F.xxhash64("rep", F.lit(4)), F.col("outer")).cast("int"))
+    dealt = _dealt(rest, block, F.when(inside, F.sequence(F.col("parts"), last)).otherwise(F.sequence(F.lit(0), last)))
+    return links.union(written(_compared(dealt), "block-links"))
 
 
 def near_duplicates(docs: DataFrame, size: int) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -145,8 +146,11 @@ def test_near_duplicates(edge, nothing):
     assert minhash.near_duplicates(nothing, 2).count() == 0
 
 
-def test_near_duplicates_of_a_large_group(spark):
-    """Copies of one text, most of them not similar to most others, so hubs alone do not join them."""
+@pytest.mark.parametrize("block", [1000, 9])
+def test_near_duplicates_of_a_large_group(spark, monkeypatch, block):
+    """Copies of one text, most of them not similar to most others, so hubs alone do not join them; in one block and in many."""
+    monkeypatch.setattr(minhash, "SET_BLOCK", block)
+    monkeypatch.setattr(minhash, "LIST_BLOCK", block)
     rnd = random.Random(13)
     base, rows = [f"w{k}" for k in range(100)], []
     for k in range(220):
@@ -159,6 +163,24 @@ def test_near_duplicates_of_a_large_group(spark):
     assert bag(minhash.near_duplicates(docs, 2), "doc_id", "n_shingles", "component_id", "kept") == plain_components(rows, 2)
 
 
+def test_tasks_pass_on_links_that_join_not_pairs(spark):
+    """Twice the near copies make at most some twice the links, and no join makes pairs of them."""
+    rnd, made = random.Random(4), []
+    for copies in (150, 300):
+        base = [f"w{k}" for k in range(100)]
+        rows = []
+        for k in range(copies):
+            words = list(base)
+            words[rnd.randrange(100)] = f"u{k}"
+            rows.append((k, " ".join(words)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        sets = minhash.sketches(docs, 2).select(F.col("doc_id").alias("rep"), "n", "sketch", "a", "b")
+        clusters = minhash.candidate_clusters(sets, minhash.rare_pairs(sets))
+        assert clusters.select("cluster").distinct().count() == 1 and clusters.count() == copies
+        made.append(minhash.verified_links(minhash.whole_sets(docs, sets.join(clusters, "rep"), 2)).count())
+    assert made[1] <= 2.5 * made[0] and made[0] < 150 * 3
+
+
 def test_components_of_long_chains(spark):
     rnd = random.Random(2)
     nodes = list(range(300))
