@@ -15,7 +15,8 @@ from gistmeter.llm.columns import SLICE, row_slices, text_column
 from gistmeter.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, Memo, Splitter
 from gistmeter.llm.shared import text_documents
 
-MEMO = 150_000  # pieces remembered by a worker; twice as many pairs of tokens
+MEMO = 1_000_000  # pieces remembered by a worker, some 30 bytes each
+PAIRS = 300_000  # pairs of tokens remembered
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,7 +80,7 @@ class Encoder:
         key = (a, b)
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 2 * MEMO:
+            if len(self.apart) > PAIRS:
                 self.apart.clear()
             known = self.merged(self.token[b]) == [b] if a < 0 else \
                 self.compatible(-1, b) and self.merged(self.token[a] + self.token[b]) == [a, b]

@@ -4,9 +4,10 @@ The split is that of the public pattern
 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 """
 
-from array import array
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from gistmeter.llm.columns import runs, span_hashes
 
@@ -82,8 +83,10 @@ class Splitter:
     def pieces(self, data: np.ndarray, offsets: np.ndarray):
         """(starts, ends, first, which): piece spans, an example of each distinct piece, and which one each is."""
         starts, ends = self.split(data, offsets)
-        distinct, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        return starts, ends, distinct, first, which
+        coded = pa.array(span_hashes(data, starts, ends)).dictionary_encode()  # distinct ones in order of appearance
+        which = coded.indices.to_numpy()
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
+        return starts, ends, coded.dictionary.to_numpy(), first, which
 
 
 def _decoded(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -94,34 +97,59 @@ def _decoded(data: np.ndarray, at: np.ndarray) -> np.ndarray:
                     np.where(lead < 0xF0, (lead & 0x0F) << 12 | b1 << 6 | b2, (lead & 0x07) << 18 | b1 << 12 | b2 << 6 | b3))
 
 
-def expanded(which: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the parts that `which` names, end to end, and how many each has."""
-    length = np.array([len(p) for p in parts], np.int64) // 4
-    begin = np.cumsum(length) - length
-    each = length[which]
-    ends = np.cumsum(each)
-    index = np.repeat(begin[which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return np.frombuffer(b"".join(parts), np.uint32)[index], each
+def expanded(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions of spans end to end."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Memo:
-    """Ids of pieces by their hash: about the `most` pieces used last, in two generations."""
+    """Ids of pieces by their hash, in sorted arrays: about the `most` pieces used last."""
 
     def __init__(self, encode, most: int):
-        self.encode, self.half, self.young, self.old = encode, most // 2, {}, {}
+        self.encode, self.most, self.now = encode, most, 0
+        self.keys, self.begin, self.length, self.used = np.empty(0, np.uint64), *(np.empty(0, np.int32) for _ in range(3))
+        self.pool, self.filled = np.empty(1 << 16, np.uint32), 0
 
     def ids(self, data: np.ndarray, splitter: Splitter, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): ids of all rows end to end, and where each row's ids end."""
         starts, ends, distinct, first, which = splitter.pieces(data, offsets)
-        keys = distinct.tolist()
-        if len(self.young) > self.half:
-            self.young, self.old = {}, self.young
-        parts = [self.young.get(k) or self.old.get(k) for k in keys]
-        missing = [k for k, part in enumerate(parts) if part is None]
-        spans = [(int(starts[first[k]]), int(ends[first[k]])) for k in missing]
-        for k, ids in zip(missing, self.encode([data[a:b].tobytes() for a, b in spans])):
-            parts[k] = array("I", ids).tobytes()
-        self.young.update(zip(keys, parts))
-        ids, each = expanded(which, parts)
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            fresh = fresh[np.argsort(distinct[fresh])]
+            spans = first[fresh]
+            self._learn(distinct[fresh], place[fresh], [data[a:b].tobytes() for a, b in zip(starts[spans].tolist(), ends[spans].tolist())])
+            place = np.searchsorted(self.keys, distinct)
+        self.used[place] = self.now
+        each = self.length[place][which].astype(np.int64)
+        ids = self.pool[expanded(self.begin[place][which].astype(np.int64), each)]
+        self.now += 1
+        if len(self.keys) > self.most:
+            self._forget()
         row = np.searchsorted(starts, offsets[1:])
         return ids, np.concatenate([[0], np.cumsum(each)])[row]
+
+    def _learn(self, keys: np.ndarray, place: np.ndarray, pieces: list[bytes]) -> None:
+        parts = list(self.encode(pieces))
+        length = np.fromiter(map(len, parts), np.int32, len(parts))
+        size = int(length.sum())
+        if self.filled + size > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.filled], np.empty(self.filled + 2 * size, np.uint32)])
+        self.pool[self.filled:self.filled + size] = np.fromiter(chain.from_iterable(parts), np.uint32, size)
+        begin = self.filled + np.cumsum(length) - length
+        self.filled += size
+        news = keys, begin, length, np.full(len(keys), self.now)
+        self.keys, self.begin, self.length, self.used = (
+            np.insert(old, place, new.astype(old.dtype)) for old, new in zip((self.keys, self.begin, self.length, self.used), news))
+
+    def _forget(self) -> None:
+        """Keep the half that was used last."""
+        keep = np.sort(np.argsort(self.used, kind="stable")[-(self.most // 2):])
+        pool = self.pool[expanded(self.begin[keep].astype(np.int64), self.length[keep].astype(np.int64))]
+        self.keys, self.length, self.used = self.keys[keep], self.length[keep], self.used[keep]
+        self.begin = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.pool, self.filled = pool, len(pool)

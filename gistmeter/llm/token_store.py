@@ -20,7 +20,7 @@ from gistmeter.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, Memo, Splitter
 from gistmeter.llm.shared import file_system, text_documents
 
 BLOCK = 1 << 16  # ids of a block
-MEMO = 400_000  # pieces remembered by a worker
+MEMO = 1_000_000  # pieces remembered by a worker, some 30 bytes each
 MAGIC = b"PLANES01"
 
 
