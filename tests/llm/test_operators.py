@@ -82,6 +82,33 @@ def test_sharding(edge, nothing):
     assert sharding.sharded(nothing).count() == 0
 
 
+def test_maps_are_stored_read_and_edited(spark, tmp_path):
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(k, "x" * rnd.randint(0, 400)) for k in range(6000)], "doc_id long, text string")
+    folder = str(tmp_path / "maps")
+
+    def run(rows, shards):
+        out = {r["doc_id"]: (r["vslot"], r["shard"], r["size"]) for r in sharding.sharded(rows, shards, 2048, folder).collect()}
+        weight = collections.Counter()
+        for _, shard, size in out.values():
+            weight[shard] += size
+        assert set(weight) == set(range(shards)) and max(weight.values()) < 1.03 * sum(weight.values()) / shards
+        return out
+
+    first = run(docs, 8)
+    assert max(w for _, w, _ in first.values()) == 7 and sharding.stored_map(spark, folder)[0] == 1
+    assert run(docs, 8) == first and sharding.stored_map(spark, folder)[0] == 1
+    grown = run(docs, 9)
+    assert sharding.stored_map(spark, folder)[0] == 2
+    moved = sum(first[k][2] for k in first if first[k][1] != grown[k][1]) / sum(v[2] for v in first.values())
+    assert 1 / 9 * 0.9 < moved < 1.3 / 9
+    # more rows than the map was made for
+    more = docs.filter("doc_id % 3 > 0")
+    run(more, 9)
+    version, of = sharding.stored_map(spark, folder, 1)
+    assert version == 1 and all(of[v] == s for v, s, _ in first.values())
+
+
 def test_slot_maps_are_even_and_edited_little():
     rnd = random.Random(5)
     loads = {v: rnd.randint(1, 1000) for v in range(4096)}

@@ -51,6 +51,33 @@ def test_stages(spark):
     assert {r["doc_id"]: r["decoded_sha256"] for r in last.collect()} == sha
 
 
+def test_stages_on_edge_rows(spark, edge, nothing, tmp_path):
+    """Columns named as operators name theirs, nulls, repeated rows, empty tables, no labels."""
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{table}.parquet").write.parquet(f"{tmp_path}/some/{table}.parquet")
+        spark.read.parquet(f"{SMALL}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{table}.parquet")
+    rows = edge.withColumns({"predicted": F.lit("p"), "row": F.lit(9), "n_chars": F.length("text"), "n_dropped": F.lit("d"), "cluster": F.lit(0.5), "kept": F.lit(None)})
+    whole = collections.Counter(map(str, rows.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        for folder in ("some", "none"):
+            got = stage(spark, rows, f"{tmp_path}/{folder}")
+            empty = stage(spark, nothing, f"{tmp_path}/{folder}")
+            assert empty.count() == 0
+            if name == "byte_bpe":
+                assert got.count() == rows.count()
+                continue
+            assert got.columns == rows.columns and empty.columns == nothing.columns
+            if name == "line_dedup":
+                unchanged = ["doc_id", "source", "n_lines", "score", "rest", "count", "predicted", "row", "n_dropped", "cluster", "kept"]
+                assert collections.Counter(map(str, got.select(unchanged).collect())) == collections.Counter(map(str, rows.select(unchanged).collect()))
+                assert got.filter("text is null or n_chars <> length(text)").count() == 0
+            else:
+                kept = collections.Counter(map(str, got.collect()))
+                assert kept <= whole
+                if folder == "none" and name in ("quality", "decontamination"):
+                    assert kept == whole
+
+
 def test_run_gives_the_last_stage(spark):
     found = corpus_pipeline.run(spark, SMALL)
     assert found.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and found.count() > 0
