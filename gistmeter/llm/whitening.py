@@ -98,6 +98,7 @@ class Whitening:
     values: np.ndarray
     axes: np.ndarray
     trace: float
+    unit: int  # eigenvalues and trace are in units of 4 to this power; 0 unless entries are huge
 
     @property
     def size(self) -> int:
@@ -139,23 +140,30 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     left = [v - n * m for v, m in zip(s, middle)]  # the sum of each centred dimension
     # n times the sum of squares about the true mean
     spread = {(a, b): n * q - (left[a] + (left[b] if a != b else 0)) ** 2 for (a, b), q in raw.items()}
+    # squares of huge entries pass a double's range: whole units of a power of two keep them in it
+    unit = max(0, max(abs(q).bit_length() for q in spread.values()) - 2 * n.bit_length() - 900) // 2
     cov = np.empty((size, size))
     for (a, b), q in spread.items():
-        exact = Fraction(q, n * n) if a == b else Fraction(q - spread[a, a] - spread[b, b], 2 * n * n)
+        exact = Fraction(q if a == b else q - spread[a, a] - spread[b, b], (1 if a == b else 2) * n * n << 2 * unit)
         cov[a, b] = cov[b, a] = float(exact)
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(-values, kind="stable")[:components]
     values, axes = values[order], axes[:, order].T
     for axis in axes:  # of the two signs, the one whose largest entry is positive
         axis *= np.sign(axis[np.argmax(np.abs(axis))]) or 1.0
-    return Whitening(n, s, values, axes, float(np.trace(cov)))
+    return Whitening(n, s, values, axes, float(np.trace(cov)), unit)
 
 
 def _projected(x: np.ndarray, model: Whitening) -> np.ndarray:
     """x - S/n on each component over the root of its eigenvalue; NaN for a component without spread."""
     middle = [v // model.n for v in model.sums]
     rest = np.array([float(Fraction(v - m * model.n, model.n)) for v, m in zip(model.sums, middle)])
-    centred = (x - np.array(middle, x.dtype)).astype(float) - rest
+    if x.dtype == object:
+        whole = np.array([[int(v - m) / (1 << model.unit) for v, m in zip(row, middle)] for row in x])
+        centred = whole.reshape(x.shape) - rest / 2.0 ** min(model.unit, 1000)
+    else:
+        centred = x - np.array(middle, object).astype(float) if model.unit else (x - np.array(middle, x.dtype)).astype(float)
+        centred = (centred - rest) / 2.0 ** min(model.unit, 1000)
     lively = model.values > RANK * model.trace
     roots = np.sqrt(np.where(lively, model.values, 1.0))
     return np.where(lively, centred @ model.axes.T / roots, np.nan)
