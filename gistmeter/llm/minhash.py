@@ -24,6 +24,7 @@ SHARD_IDS = 1_000_000  # ids in a mapped array
 LIST_BLOCK = 500  # members of a list, and members and values of a cluster, that a task compares with each other or another block
 SET_BLOCK, SET_VALUES = 1000, 1_000_000
 PAIRS = 50_000  # pairs of sketches that are looked at at once
+EDGE_BLOCK = 100_000  # links that a task joins without rounds
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,20 +123,51 @@ def _alike(a: str, b: str, n: str, m: str) -> Column:
     return F.when(small, F.size(both) * 100 >= (F.col(n) + F.col(m) - F.size(both)) * SIMILAR).otherwise(F.size(F.array_intersect(both, union)) >= F.least(needed(F.col(n)), needed(F.col(m))))
 
 
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): the smallest node that edges (u, v) reach from each node, where that is another one."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = np.split(place, 2)
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _settled(links: DataFrame, what: str) -> DataFrame:
+    """`components` of at most EDGE_BLOCK links, in one task."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[np.empty(0, np.int64)] * 2, *([c.to_numpy() for c in batch.columns] for batch in batches)]
+        node, root = _stars(*(np.concatenate(x) for x in zip(*parts)))
+        own = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, own])), pa.array(np.concatenate([root, own]))], names=["node", "component"])
+
+    pairs = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a != b")
+    return written(pairs.repartition(1).mapInArrow(task, "node long, component long"), what)
+
+
 def components(links: DataFrame, what: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for nodes with a link.
 
     Every node is pointed at the smallest neighbour it knows, in turn for smaller and larger neighbours,
     until nothing changes; each round is written, so its lineage is cut.  A node of many links is one window of narrow
-    rows, which spills.
+    rows, which spills.  Once at most EDGE_BLOCK edges are left, a task joins them without further rounds.
     """
+    if links.count() <= EDGE_BLOCK:
+        return _settled(links, what)
+
     def mark(rows: DataFrame):
         return rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     around = Window.partitionBy("u")
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), what)
     before, now = None, mark(edges)
-    while now != before:
+    while now != before and now[0] > EDGE_BLOCK:
         # larger neighbours of a node go to its smallest neighbour, known to its own row by a window of one shuffle
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         large = both.withColumn("m", F.least(F.min("v").over(around), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
@@ -143,6 +175,8 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
         joined = large.withColumn("m", F.min("v").over(around)).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = written(joined.filter("u > v").distinct(), what)
         before, now = now, mark(edges)
+    if now != before:
+        return _settled(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), what)
     roots = edges.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("node"), "component").union(roots.select(F.col("component").alias("node"), "component").distinct())
 

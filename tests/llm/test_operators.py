@@ -217,6 +217,23 @@ def test_components_of_long_chains(spark):
     assert found == {n: min(nodes[:150]) if k < 150 else min(nodes[150:]) for k, n in enumerate(nodes)}
 
 
+@pytest.mark.parametrize("block", [20, 100_000])
+def test_few_links_are_joined_without_rounds(spark, monkeypatch, block):
+    rnd = random.Random(3)
+    links = [(rnd.randrange(-90, 90), rnd.randrange(-90, 90)) for _ in range(120)] + [(5, 5), (7, 8), (8, 7), (7, 8)]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    made, write = [], minhash.written
+    monkeypatch.setattr(minhash, "EDGE_BLOCK", block)
+    monkeypatch.setattr(minhash, "written", lambda df, what: made.append(what) or write(df, what))
+    found = {r["node"]: r["component"] for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {x: r for x, r in root.items() if any(x in link for link in links if link[0] != link[1])}
+    assert (len(made) == 1) == (block > len(links))
+    assert not minhash.components(spark.createDataFrame([], "a long, b long")).count()
+
+
 # chat
 
 def test_chat_round_trip(spark):
