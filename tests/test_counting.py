@@ -55,3 +55,34 @@ def test_held_and_joined_name_lists(spark, odd):
     names = spark.createDataFrame([("The cat",), ("the",), ("cat",), ("cat ran",), ("dog",), ("the dog ran",)], "entity string")
     held, joined = ({tuple(r) for r in gazetteer.name_mentions(odd, names, held_bytes=b).collect()} for b in (1 << 30, -1))
     assert held == joined and (1, 0, "The cat") in held and (None, 0, "cat") in held
+
+
+ODD_WORDS = [(1, "A. b c.\tD!  ...  e? ΣΟΣ. Σ.", "x-y. 'z' \x1c. q ."), (2, " . ", ""), (3, None, "a"), (4, "it's.No gap. İ!", None)]
+
+
+def test_words_by_sentence_are_the_words(spark):
+    pairs = spark.createDataFrame(ODD_WORDS, "id long, text string, summary string")
+    whole = {r["id"]: (r["t"], r["s"]) for r in tokens.both_sides(pairs).collect()}
+    assert whole == {r["id"]: (r["t"], r["s"]) for r in tokens.both_sides(pairs, worded=tokens.sentence_words(pairs)).collect()}
+
+
+def test_mapped_vectors_are_read_in_tasks(spark, odd, tmp_path, monkeypatch):
+    rows = [(t, [float(i % 5 - 2), float(i * i % 7), 1.0]) for i, t in enumerate("the cat ran . sat , running on a dog one two cats".split())]
+    spark.createDataFrame(rows, "key string, vec array<float>").repartition(3).write.parquet(f"{tmp_path}/v")
+    spark.createDataFrame([*rows, rows[0]], "key string, vec array<float>").write.parquet(f"{tmp_path}/twice")
+    vectors = spark.read.parquet(f"{tmp_path}/v")
+    known = odd.filter("id is not null")
+
+    def results(**more):
+        return [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f(known, vectors, **more).collect())
+                for f in (similarity.bert_score, similarity.embedding_similarity, pseudo_reference.supert_score)]
+
+    small = results()
+    monkeypatch.setattr(similarity, "SMALL", 0)
+    held = similarity.held_lookup(vectors)
+    assert held is not None and "best_matches" not in plan(similarity.bert_score(known, vectors)) and results() == small
+    keyed = similarity.Keyed(similarity.token_keys(tokens.sentence_words(known)), held)
+    assert results(keyed=keyed) == small
+    assert similarity.held_lookup(spark.read.parquet(f"{tmp_path}/twice")) is None
+    monkeypatch.setattr(similarity, "MAPPED", 0)
+    assert similarity.held_lookup(vectors) is None and "best_matches" in plan(similarity.bert_score(known, vectors)) and results() == small
