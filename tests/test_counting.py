@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistmeter.functions import porter
-from gistmeter.operators import distribution, gazetteer, perplexity, pseudo_reference, similarity, surprisal, tokens
+from gistmeter.operators import distribution, gazetteer, layout, perplexity, pseudo_reference, similarity, surprisal, tokens
+from gistmeter.plans import corpus
 
 TEXTS = [(1, "The cat ran. The cat sat, running on.", "The cat. A dog ran."), (2, "", "a b"), (3, None, None), (None, "One cat. Two cats.", "cat"),
          (1, "The dog. The dog ran.", "cat cat")]
@@ -86,3 +87,14 @@ def test_mapped_vectors_are_read_in_tasks(spark, odd, tmp_path, monkeypatch):
     assert similarity.held_lookup(spark.read.parquet(f"{tmp_path}/twice")) is None
     monkeypatch.setattr(similarity, "MAPPED", 0)
     assert similarity.held_lookup(vectors) is None and "best_matches" in plan(similarity.bert_score(known, vectors)) and results() == small
+
+
+def test_parts_grow_with_the_files(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id as doc_id", "'en' as lang", "concat('One ', id, '. Two.') as text").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    few = sorted(map(tuple, corpus.pairs_from_documents(docs).collect()))
+    assert layout.parts_of(docs) is None and layout.parts_of(spark.createDataFrame([(1,)], "a int")) is None
+    monkeypatch.setattr(layout, "PART", 100)
+    parts = layout.parts_of(docs)
+    assert parts > 8 and corpus.pairs_from_documents(docs).rdd.getNumPartitions() == parts
+    assert sorted(map(tuple, corpus.pairs_from_documents(docs).collect())) == few
