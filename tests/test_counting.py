@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gistmeter.functions import porter
 from gistmeter.operators import distribution, gazetteer, layout, perplexity, pseudo_reference, similarity, surprisal, tokens
-from gistmeter.plans import corpus
+from gistmeter.plans import corpus, incremental
 
 TEXTS = [(1, "The cat ran. The cat sat, running on.", "The cat. A dog ran."), (2, "", "a b"), (3, None, None), (None, "One cat. Two cats.", "cat"),
          (1, "The dog. The dog ran.", "cat cat")]
@@ -98,3 +98,17 @@ def test_parts_grow_with_the_files(spark, tmp_path, monkeypatch):
     parts = layout.parts_of(docs)
     assert parts > 8 and corpus.pairs_from_documents(docs).rdd.getNumPartitions() == parts
     assert sorted(map(tuple, corpus.pairs_from_documents(docs).collect())) == few
+
+
+def test_missing_pairs_are_found_without_moving_texts(spark, odd, tmp_path):
+    def score(pairs):
+        return pairs.select("id", F.length("text").cast("double").alias("n"))
+
+    rows = [(k, "t" * k, "s") for k in range(1, 40)] + [(1, "other", "s"), (None, "t", "s")]
+    with layout.Bucketed(spark.createDataFrame(rows, "id long, text string, summary string"), buckets=4) as pairs:
+        table = incremental.ScoreTable(spark, f"{tmp_path}/scores", pairs.schema["id"].dataType, ["n"], score, "1", buckets=2, parts=4)
+        assert table.update(pairs.filter("id > 9 or id is null")) == 30
+        missing = table.missing(pairs)
+        assert sorted((r["id"], r["text"]) for r in missing.collect()) == sorted([(1, "other"), *((k, "t" * k) for k in range(1, 10))])
+        moved = missing._jdf.queryExecution().executedPlan().toString()
+        assert "text" not in "".join(line for line in moved.splitlines() if "Exchange hashpartitioning" in line) and table.update(pairs) == 10
