@@ -28,7 +28,7 @@ def test_tokens_do_not_become_rows(odd, make):
 
 def test_rows_of_an_id_are_counted_together(odd):
     n = {(r["id"], r["tok"]): (r["c_text"], r["c_summary"], r["n_text"]) for r in tokens.token_counts(odd).collect()}
-    assert n[1, "the"] == (4, 1, 17) and n[None, "cat"] == (1, 1, 6) and n[3, None] == (0, 0, 0) and n[2, None] == (0, 0, 0) and len({k[0] for k in n}) == 4
+    assert n[1, "the"] == (4, 1, 18) and n[None, "cat"] == (1, 1, 6) and n[3, None] == (0, 0, 0) and n[2, None] == (0, 0, 0) and len({k[0] for k in n}) == 4
 
 
 def test_stems_of_lists(spark):
