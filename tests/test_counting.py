@@ -1,10 +1,11 @@
 """Counting inside tasks: no token becomes a row, and the plans that remain for large tables give the same."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gistmeter.functions import porter
-from gistmeter.operators import distribution, gazetteer, layout, perplexity, pseudo_reference, similarity, surprisal, tokens
+from gistmeter.operators import distribution, gazetteer, grammar, layout, overlap, perplexity, pseudo_reference, similarity, surprisal, tokens
 from gistmeter.plans import corpus, incremental
 
 TEXTS = [(1, "The cat ran. The cat sat, running on.", "The cat. A dog ran."), (2, "", "a b"), (3, None, None), (None, "One cat. Two cats.", "cat"),
@@ -112,3 +113,49 @@ def test_missing_pairs_are_found_without_moving_texts(spark, odd, tmp_path):
         assert sorted((r["id"], r["text"]) for r in missing.collect()) == sorted([(1, "other"), *((k, "t" * k) for k in range(1, 10))])
         moved = missing._jdf.queryExecution().executedPlan().toString()
         assert "text" not in "".join(line for line in moved.splitlines() if "Exchange hashpartitioning" in line) and table.update(pairs) == 10
+
+
+def test_rouge_codes_stand_for_stems_in_their_order(spark):
+    pairs = spark.createDataFrame([(1, "Cats, catS runningÅ 7up", "A cat ran"), (1, "zoo cats", None), (2, "", "éé"), (3, None, "x-y x")],
+                                  "id long, text string, summary string")
+    words = {(r["id"], r["side"], tuple(r["toks"] or ()), r["toks"] is None) for r in overlap.rouge_tokens_by_side(pairs).collect()}
+    codes = overlap.rouge_codes_by_side(pairs).collect()
+    assert sorted((r["id"], r["side"], len(r["toks"] or ()), r["toks"] is None) for r in codes) == sorted((i, s, len(t), n) for i, s, t, n in words)
+    for i in (1, 2, 3):
+        known = sorted({t for j, _, toks, _ in words if j == i for t in toks})
+        found = sorted({c for r in codes if r["id"] == i for c in r["toks"] or ()})
+        assert len(known) == len(found)
+        name = dict(zip(found, known))
+        assert {(r["side"], tuple(name[c] for c in r["toks"] or ())) for r in codes if r["id"] == i} == {(s, t) for j, s, t, _ in words if j == i}
+
+
+def test_keys_of_many_strings_are_those_of_the_column(spark):
+    key = corpus.hash_key(97)
+    worded = spark.createDataFrame([(1, [["a", "bé"], []], [["a"]]), (2, None, [])], "id long, t array<array<string>>, s array<array<string>>")
+    rows = [similarity.token_keys(worded, k).orderBy("id").collect() for k in (key, lambda token: key(token))]
+    assert rows[0] == rows[1] and len(rows[0]) == 2
+
+
+def test_lexicon_of_words_is_that_of_texts(spark):
+    pairs = spark.createDataFrame([(1, "Red fox. Blue fox.", "x"), (2, "blue hen, red", None), (3, None, ""), (3, "", "fox")], "id long, text string, summary string")
+    found = [{r["tok"] for r in lexicon.collect()} for lexicon in (grammar.lexicon(pairs), grammar._lexicon_of_words(tokens.sentence_words(pairs)))]
+    assert found[0] == found[1] == {"red", "blue"}
+
+
+def test_texts_clustered_together_have_the_clusters_of_each():
+    r = np.random.default_rng(7)
+    for top in (3, 2000, 1 << 28):
+        size = r.integers(1, 30, 200)
+        points, starts, k = r.integers(-top, top, (size.sum(), 5)), np.cumsum(size) - size, np.minimum(size, r.integers(0, 20, 200))
+        text, cluster, member = pseudo_reference._clusters_of(points, starts, size, k)
+        for i in range(200):
+            own = points[starts[i]:starts[i] + size[i]]
+            want = list(pseudo_reference._clusters(int(k[i]), own)) if k[i] else []
+            assert list(zip(cluster[text == i].tolist(), (member[text == i] - starts[i]).tolist())) == want
+
+
+def test_only_the_summarys_grams_leave_a_task_for_perplexity(spark):
+    pairs = spark.createDataFrame([(1, "a b c d e f", "a b"), (2, "a b c", None)], "id long, text string, summary string")
+    assert perplexity._counted(pairs, 3, words=False).filter("c_summary > 0").count() == 2
+    assert perplexity._counted(pairs, 3, words=False).count() <= 4 < perplexity._counted(pairs, 3, words=True).count()
+    assert {r["id"]: r["perplexity"] is None for r in perplexity.perplexity(pairs).collect()} == {1: False, 2: True}
