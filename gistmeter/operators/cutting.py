@@ -54,7 +54,7 @@ class Cutter:
             first = (data & 0xC0) != 0x80  # bytes that open a character
             at = np.flatnonzero(first)
             points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "uint32")
-            ends = np.concatenate([[0], np.cumsum(first)])[ends]
+            ends = np.searchsorted(at, ends)
         kind = _kinds(self.letters)[points]
         edge = np.zeros(len(kind) + 1, bool)  # where a string opens
         edge[ends] = True
@@ -80,7 +80,7 @@ class Cutter:
 
         # all bytes but blanks belong to words
         solid = _kinds(self.letters)[data] != BLANK
-        places = np.concatenate([[0], np.cumsum(solid)]).astype("int32")
-        places = np.append(places[starts if at is None else at[starts]], places[-1])
-        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[solid]))
+        places, data = np.cumsum(solid, dtype="int32"), data[solid]
+        places = np.append(places[starts if at is None else at[starts]] - 1, len(data)).astype("int32")
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data))
         return words, n_words, np.diff(np.append(head, len(starts))), n_sentences

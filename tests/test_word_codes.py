@@ -1,10 +1,13 @@
 """Words laid out as numbers: the same words, sentences and scores as from the texts, and less that leaves a task."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gistmeter.functions.digests import md5_heads
 from gistmeter.operators import counting, distribution, grammar, layout, perplexity, pseudo_reference, similarity, surprisal, tokens
 from gistmeter.operators.cutting import Cutter
 from gistmeter.plans import corpus
@@ -87,6 +90,21 @@ def test_keys_of_words_are_hashed_in_tasks(spark):
     assert key.of_strings(pa.array(["a", "bé", "", None])).to_pylist() == [r[0] for r in toks.select(key(F.col("tok"))).collect()]
 
 
+def test_digests_of_many_strings():
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("ab9é猫")) for _ in range(n)) for n in [*range(70), 119, 120, 300]] + [None]
+    want = [int.from_bytes(hashlib.md5((t or "").encode()).digest()[:4]) for t in texts]
+    column = pa.array(texts)
+    assert md5_heads(column).tolist() == want and md5_heads(column.slice(3, 9)).tolist() == want[3:12] and len(md5_heads(column.slice(0, 0))) == 0
+
+
+def test_small_pieces_give_the_same(spark, odd, monkeypatch):
+    made = [surprisal.kn_counts, perplexity.ngram_model]
+    want = [rounded(f(odd, 2)) for f in made]
+    monkeypatch.setattr(counting.mapped, "__defaults__", (2,))
+    assert [rounded(f(odd, 2)) for f in made] == want
+
+
 def test_embedding_similarity_moves_no_vectors(spark, odd, known):
     held = similarity.held_lookup(known)
     with layout.Bucketed(odd, buckets=3) as texts, layout.Bucketed(similarity.coded_rows(texts, similarity.own_key, held), buckets=3, placed=True) as coded:
