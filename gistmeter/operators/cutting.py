@@ -14,14 +14,19 @@ OTHER, LETTER, JOINER, STOP, BLANK = range(5)
 BLANKS = b" \t\n\x0b\f\r"  # \\s of the patterns
 
 
-@functools.cache
-def _letters() -> tuple[tuple[int, int], ...]:
-    """First and last code points of the runs of letters and numbers; which they are is asked of the library that reads the patterns."""
+_asked: list[tuple[tuple[int, int], ...]] = []
+
+
+def _letters(spark: SparkSession) -> tuple[tuple[int, int], ...]:
+    """First and last code points of the runs of letters and numbers; which they are is asked, once, of the library that reads the patterns."""
+    if _asked:
+        return _asked[0]
     point = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
-    found = SparkSession.active().range(POINTS).filter(point.rlike(text.LETTER)).toArrow().column("id").to_numpy()
+    found = spark.range(POINTS).filter(point.rlike(text.LETTER)).toArrow().column("id").to_numpy()
     found = np.sort(found)
     starts = np.flatnonzero(np.diff(found, prepend=-2) != 1)
-    return tuple(zip(found[starts].tolist(), found[np.append(starts[1:], len(found)) - 1].tolist()))
+    _asked.append(tuple(zip(found[starts].tolist(), found[np.append(starts[1:], len(found)) - 1].tolist())))
+    return _asked[0]
 
 
 @functools.cache
@@ -38,8 +43,8 @@ def _kinds(letters: tuple[tuple[int, int], ...]) -> np.ndarray:
 class Cutter:
     """Cuts columns of lower-cased strings; made where the session is, used in tasks."""
 
-    def __init__(self):
-        self.letters = _letters()
+    def __init__(self, spark: SparkSession):
+        self.letters = _letters(spark)
 
     def __call__(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """The words of all strings end to end, how many words a string and a sentence have, and how many sentences a string has."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gistmeter.functions.digests import md5_heads
 from gistmeter.operators import counting, distribution, grammar, layout, perplexity, pseudo_reference, similarity, surprisal, tokens
 from gistmeter.operators.cutting import Cutter
-from gistmeter.plans import corpus
+from gistmeter.plans import corpus, scoring
+from gistmeter.plans.queries import QUERIES
 
 ODD = [(1, "A. b c.\tD!  ...  e? ΣΟΣ. Σ.", "x-y. 'z' \x1c. q ."), (2, " . ", ""), (3, None, "a"), (4, "it's.No gap. İ!", None), (5, "", ""), (6, None, None),
        (1, "c d. The-'cat' 9-9'a'.", "b b a"), (None, "𝒜𝟙 café's\xa0x. y ½-½ ǅ a--b -a- '' ٣'٤.\n\nZ", "x y"), (None, "x.", "Été là. 猫。猫"), (7, "a b. c d. a c", "c a d")]
@@ -56,7 +57,7 @@ def test_cut_at_every_boundary(spark):
     texts = ["".join(rng.choice(list("ab1 .'-!\t\né猫\x1c\xa0"), rng.integers(0, 30))) for _ in range(3000)]
     pairs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, text string, summary string")
     want = {r["id"]: r["t"] for r in tokens.sentence_words(pairs).collect()}
-    cutter = Cutter()
+    cutter = Cutter(spark)
     for ascii_only in (False, True):
         some = [i for i, t in enumerate(texts) if t.isascii() or not ascii_only]
         column = pa.array(["zz", *[texts[i] for i in some], "zz"], pa.string()).slice(1, len(some))
@@ -112,6 +113,16 @@ def test_embedding_similarity_moves_no_vectors(spark, odd, known):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString() and made.count() > 0
 
 
+def test_documents_are_laid_out_by_their_size(spark, tmp_path, monkeypatch):
+    spark.range(60).selectExpr("id as doc_id", "'en' as lang", "concat('One ', id, '. Two.') as text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select 0L as vec_id, array(1f, 2f) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(layout, "PART", 100)
+    asked = []
+    monkeypatch.setattr(scoring, "scores_of", lambda pairs, vectors, key, buckets=None: asked.append(buckets) or pairs.select("id"))
+    assert QUERIES["q15_score_all_documents"](spark, str(tmp_path)).count() == 60
+    assert asked == [layout.parts_of(corpus.table(spark, str(tmp_path), "documents"))] and asked[0] > 8
+
+
 def test_alike_ngrams_leave_a_task_as_one_row(spark):
     pairs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(500)), "w1 w2")], "id long, text string, summary string")
     assert surprisal.kn_counts(pairs, 2, words=True).count() > 500
